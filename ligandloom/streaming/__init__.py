@@ -1,0 +1,7 @@
+"""Nothing here needs a stream.
+
+All inputs are finished tables. The library-side operators (fingerprints,
+nearest active, known flag, scoring) work row by row against a static side,
+so they accept a ``readStream`` frame as they are; no stateful operator,
+watermark or trigger is part of the feature set.
+"""
