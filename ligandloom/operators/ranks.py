@@ -139,7 +139,7 @@ def split_percentiles(
     )
     ranked = running_totals(distinct, [value], {"_cum": "_c"}, keys)
     sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = ranked.join(sizes, list(keys)) if keys else ranked.crossJoin(F.broadcast(sizes))
+    placed = ranked.join(sizes, list(keys))
     aggs = []
     for out, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
