@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ligandloom.functions.fingerprints import tanimoto
@@ -59,6 +59,10 @@ def best_match(lib: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sims, picks
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _result_schema(df: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -136,10 +140,10 @@ def _against_blocks(
     left = (
         library.select(row_key, F.col(bits).alias("_bits"))
         .withColumn("_slice", F.pmod(F.xxhash64(row_key), F.lit(n_slices)))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint"))
+        .withColumn("_block", F.explode(_numbers(n_blocks)))
     )
     right = refs.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(n_blocks))).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).cast("bigint")
+        "_slice", F.explode(_numbers(n_slices))
     )
     schema = T.StructType(
         [
