@@ -10,6 +10,7 @@ from ligandloom.functions import descriptors as D
 from ligandloom.functions import fingerprints as FP
 from ligandloom.functions import values as V
 from ligandloom.operators import assemble, curation, dedup, matching, ranking
+from ligandloom.session import spread
 from ligandloom.sources import readers
 
 _COARSE = r"md5(regexp_replace(lower(key), '[^\p{L}\p{N}]', '', 'g'))"
@@ -175,7 +176,7 @@ def _bits_out(df):
 SELECT id, concat(r, '|', array_to_string(list_slice(t, greatest(i - r, 1), least(i + r, len(t))), ' ')) AS g
 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(0, 3) x(r)"""))
 def p30a(spark, sf):
-    d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
+    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     return _bits_out(d.withColumn("on_bits", FP.circular_bits(F.col("toks"), DOC_BITS)))
 
 
@@ -195,7 +196,7 @@ def p30b(spark, sf):
 SELECT id, concat('p|', array_to_string(list_slice(t, i, i + k - 1), ' ')) AS g
 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(1, 8) x(k) WHERE i + k - 1 <= len(t)"""))
 def p30c(spark, sf):
-    d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
+    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     return _bits_out(d.withColumn("on_bits", FP.path_bits(F.col("toks"), DOC_BITS)))
 
 
@@ -203,7 +204,7 @@ def p30c(spark, sf):
 SELECT id, concat('a|', t[i], '|', t[i + d], '|', d) AS g
 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(1, 7) x(d) WHERE i + d <= len(t)"""))
 def p30d(spark, sf):
-    d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
+    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     return _bits_out(d.withColumn("on_bits", FP.pair_bits(F.col("toks"), DOC_BITS, 6)))
 
 

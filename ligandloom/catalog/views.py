@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ligandloom.functions import fingerprints as FP
 from ligandloom.functions import values as V
+from ligandloom.session import spread
 
 PROPERTIES = ("p1", "p2", "p3", "p4", "p5", "charge")
 DOC_BITS = 1024
@@ -196,7 +197,7 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_fingerprints(spark: SparkSession, sf: str, kind: str = "circular") -> DataFrame:
     """Documents with the set bits of their words."""
-    d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
+    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     bits = FP.fingerprint(F.col("key"), F.col("toks"), kind, DOC_BITS, radius=DOC_RADIUS)
     return d.withColumn("on_bits", bits).drop("toks")
 

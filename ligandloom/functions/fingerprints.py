@@ -7,7 +7,7 @@ Tokenise once, then ask for several kinds in the same ``select``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, SparkSession, functions as F
@@ -43,6 +43,11 @@ def _positions(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
+def _once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(col)`` with ``col`` evaluated once per row, not once per lambda call."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 def _bits(patterns: Column, n_bits: int) -> Column:
     found = F.transform(F.array_distinct(patterns), lambda g: hash_bit(g, n_bits))
     return F.array_sort(F.array_distinct(found))
@@ -50,48 +55,53 @@ def _bits(patterns: Column, n_bits: int) -> Column:
 
 def circular_bits(toks: Column, n_bits: int = N_BITS, radius: int = RADIUS) -> Column:
     """Every token with its surroundings of 0..radius tokens on both sides."""
-    n = F.size(toks)
 
-    def around(r: Column) -> Column:
-        def window(i: Column) -> Column:
-            start = F.greatest(i - r, F.lit(1))
-            width = F.least(i + r, n) - start + 1
-            return F.concat_ws("|", r.cast("string"), F.array_join(F.slice(toks, start, width), " "))
+    def grams(t: Column) -> Column:
+        n = F.size(t)
+
+        def around(r: Column) -> Column:
+            def window(i: Column) -> Column:
+                start = F.greatest(i - r, F.lit(1))
+                width = F.least(i + r, n) - start + 1
+                return F.concat_ws("|", r.cast("string"), F.array_join(F.slice(t, start, width), " "))
+
+            return F.transform(_positions(F.lit(1), n), window)
 
-        return F.transform(_positions(F.lit(1), n), window)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), around))
 
-    rings = F.sequence(F.lit(0), F.lit(radius))
-    return _bits(F.flatten(F.transform(rings, around)), n_bits)
+    return _bits(_once(toks, grams), n_bits)
 
 
 def path_bits(toks: Column, n_bits: int = N_BITS, longest: int = PATH_LENGTH) -> Column:
     """Every run of 1..longest tokens."""
-    n = F.size(toks)
 
-    def runs(k: Column) -> Column:
-        return F.transform(
-            _positions(F.lit(1), n - k + 1),
-            lambda i: F.concat_ws("|", F.lit("p"), F.array_join(F.slice(toks, i, k), " ")),
-        )
+    def grams(t: Column) -> Column:
+        def runs(k: Column) -> Column:
+            return F.transform(
+                _positions(F.lit(1), F.size(t) - k + 1),
+                lambda i: F.concat_ws("|", F.lit("p"), F.array_join(F.slice(t, i, k), " ")),
+            )
 
-    lengths = F.sequence(F.lit(1), F.lit(longest))
-    return _bits(F.flatten(F.transform(lengths, runs)), n_bits)
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), runs))
+
+    return _bits(_once(toks, grams), n_bits)
 
 
 def pair_bits(toks: Column, n_bits: int = N_BITS, farthest: int = PAIR_DISTANCE) -> Column:
     """Every two tokens with their distance, up to ``farthest`` apart."""
-    n = F.size(toks)
-
-    def pairs(d: Column) -> Column:
-        return F.transform(
-            _positions(F.lit(1), n - d),
-            lambda i: F.concat_ws(
-                "|", F.lit("a"), F.get(toks, i - 1), F.get(toks, i - 1 + d), d.cast("string")
-            ),
-        )
-
-    distances = F.sequence(F.lit(1), F.lit(farthest))
-    return _bits(F.flatten(F.transform(distances, pairs)), n_bits)
+
+    def grams(t: Column) -> Column:
+        def pairs(d: Column) -> Column:
+            return F.transform(
+                _positions(F.lit(1), F.size(t) - d),
+                lambda i: F.concat_ws(
+                    "|", F.lit("a"), F.get(t, i - 1), F.get(t, i - 1 + d), d.cast("string")
+                ),
+            )
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(farthest)), pairs))
+
+    return _bits(_once(toks, grams), n_bits)
 
 
 def key_bits(col: Column, patterns: Sequence[str] = KEY_PATTERNS) -> Column:
