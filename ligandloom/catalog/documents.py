@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ligandloom.catalog.registry import query, r
-from ligandloom.catalog.views import DOC_BITS, doc_fingerprints, docs, docs_raw, lab, lines, table
+from ligandloom.catalog.views import DOC_BITS, docs, docs_raw, lab, lines, table
 from ligandloom.functions import descriptors as D
 from ligandloom.functions import fingerprints as FP
 from ligandloom.functions import values as V
 from ligandloom.operators import assemble, curation, dedup, matching, ranking
-from ligandloom.session import spread
+from ligandloom.session import settle
 from ligandloom.sources import readers
 
 _COARSE = r"md5(regexp_replace(lower(key), '[^\p{L}\p{N}]', '', 'g'))"
@@ -176,7 +176,7 @@ def _bits_out(df):
 SELECT id, concat(r, '|', array_to_string(list_slice(t, greatest(i - r, 1), least(i + r, len(t))), ' ')) AS g
 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(0, 3) x(r)"""))
 def p30a(spark, sf):
-    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
+    d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     return _bits_out(d.withColumn("on_bits", FP.circular_bits(F.col("toks"), DOC_BITS)))
 
 
@@ -196,7 +196,7 @@ def p30b(spark, sf):
 SELECT id, concat('p|', array_to_string(list_slice(t, i, i + k - 1), ' ')) AS g
 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(1, 8) x(k) WHERE i + k - 1 <= len(t)"""))
 def p30c(spark, sf):
-    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
+    d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     return _bits_out(d.withColumn("on_bits", FP.path_bits(F.col("toks"), DOC_BITS)))
 
 
@@ -204,7 +204,7 @@ def p30c(spark, sf):
 SELECT id, concat('a|', t[i], '|', t[i + d], '|', d) AS g
 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(1, 7) x(d) WHERE i + d <= len(t)"""))
 def p30d(spark, sf):
-    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
+    d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     return _bits_out(d.withColumn("on_bits", FP.pair_bits(F.col("toks"), DOC_BITS, 6)))
 
 
@@ -241,10 +241,10 @@ t AS (SELECT c.*, CASE WHEN coarse IN (SELECT coarse FROM ka) THEN 'overlap_acti
 
 
 def _known(spark, sf):
-    d = doc_fingerprints(spark, sf).withColumn("coarse", V.coarse_key(F.col("key")))
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
-    both = labels.join(d, "id")
-    actives = both.where("toxic = 1").select("coarse", "key", F.col("id").alias("ord"), "on_bits")
+    both = labels.join(docs(spark, sf), "id").withColumn("coarse", V.coarse_key(F.col("key")))
+    actives = both.where("toxic = 1").withColumn("on_bits", _doc_bits(F.col("key")))
+    actives = settle(actives.select("coarse", "key", F.col("id").alias("ord"), "on_bits"))
     inactives = both.where("quality = 0 and toxic = 0").select("coarse")
     return actives, inactives
 

@@ -33,7 +33,7 @@ SELECT ord, CASE WHEN coalesce(regexp_matches(raw, {_QUALIFIED}), false) THEN
 FROM meas""")
 def p1(spark, sf):
     relation, value = V.parse_qualified(F.col("raw"))
-    return meas(spark, sf).select("ord", relation.alias("relation"), value.alias("value"))
+    return meas(spark, sf, heavy=True).select("ord", relation.alias("relation"), value.alias("value"))
 
 
 @query("p2_to_number", "meas", f"""
@@ -103,7 +103,7 @@ SELECT ord, potency FROM (SELECT ord, {r("coalesce(pchembl, CASE WHEN trim(any_u
 def p15(spark, sf):
     pot = V.potency(F.col("pchembl"), F.col("v"), F.col("any_unit"))
     return (
-        meas(spark, sf)
+        meas(spark, sf, heavy=True)
         .select("ord", V.half_even(pot, 9).alias("potency"))
         .where(F.col("potency").isNotNull())
     )
@@ -154,7 +154,7 @@ SELECT 'A', id, key, CASE trim(any_unit) WHEN 'nM' THEN n WHEN 'uM' THEN n * 100
 
 @query("u1_harmonised_union", "meas", _UNION)
 def u1(spark, sf):
-    m = meas(spark, sf)
+    m = meas(spark, sf, heavy=True)
     merged = _qualified(m).unionByName(_typed(m))
     return merged.withColumnsRenamed({"ic50_nM": "ic50_nm", "pChEMBL": "pchembl"})
 
@@ -166,7 +166,7 @@ SELECT u.ord, u.source, u.compound_id, u.smiles AS canonical_smiles, u.ic50_nm,
  true AS valid_structure, s.n AS dup_count, s.n > 1 AS is_duplicate, g.dup_group, (s.n > 1 AND s.x) AS cross_source_dup
 FROM u JOIN s USING (smiles) LEFT JOIN g USING (smiles)""")
 def b1(spark, sf):
-    m = meas(spark, sf)
+    m = meas(spark, sf, heavy=True)
     merged = curation.merge_sources([_qualified(m), _typed(m)])
     return merged.select(
         "ord", "source", "compound_id", "canonical_smiles", F.col("ic50_nM").alias("ic50_nm"), "relation",
@@ -215,7 +215,7 @@ WITH g AS (SELECT key, {_VALUE} AS k, min_by(v, ord) AS v, min_by(id, ord) AS id
  FROM meas GROUP BY 1, 2)
 SELECT key, v, id, relation, pchembl, sources, n_records, count(*) OVER (PARTITION BY key) AS n_values FROM g""")
 def a2(spark, sf):
-    return dedup.distinct_values(meas(spark, sf), "key", "v", "ord", ("id", "relation", "pchembl"))
+    return dedup.distinct_values(meas(spark, sf, heavy=True), "key", "v", "ord", ("id", "relation", "pchembl"))
 
 
 @query("w4_n_values", "meas", f"""
@@ -232,7 +232,7 @@ FROM meas GROUP BY key"""
 
 
 def _median(spark, sf, hot_rows=ranks.HOT_ROWS):
-    return dedup.median_per_key(meas(spark, sf), "key", "v", "ord", first=("id",), hot_rows=hot_rows)
+    return dedup.median_per_key(meas(spark, sf, heavy=True), "key", "v", "ord", first=("id",), hot_rows=hot_rows)
 
 
 @query("a3_median_per_key", "meas", _MEDIAN)
@@ -266,7 +266,7 @@ SELECT key, id, {r("pow(10::DOUBLE, 9 - med)", 3)} AS value_median, {r("med", 3)
 
 
 def _robust(spark, sf, hot_rows=ranks.HOT_ROWS):
-    return dedup.robust_dedup(meas(spark, sf), "key", "v", "ord", hot_rows=hot_rows)
+    return dedup.robust_dedup(meas(spark, sf, heavy=True), "key", "v", "ord", hot_rows=hot_rows)
 
 
 @query("a5_robust_dedup", "meas", _ROBUST)
@@ -303,7 +303,7 @@ SELECT key, min_by(registry, ord) FILTER (registry IS NOT NULL) AS registry,
  min_by(pchembl, ord) FILTER (pchembl IS NOT NULL) AS pchembl FROM meas GROUP BY key""")
 def a10(spark, sf):
     cols = [dedup.first_valid(c, "ord").alias(c) for c in ("registry", "pchembl")]
-    return meas(spark, sf).groupBy("key").agg(*cols)
+    return meas(spark, sf, heavy=True).groupBy("key").agg(*cols)
 
 
 @query("a29_best_class_per_key", "meas", f"""
@@ -312,7 +312,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE class WHEN 'ac
  WHEN 'inactive' THEN 2 ELSE 3 END, ord) AS rn FROM c)
 SELECT key, class, v FROM b WHERE rn = 1 AND class IN ('active', 'inactive')""")
 def a29(spark, sf):
-    m = meas(spark, sf).withColumn("class", V.activity_class(F.col("v"), F.col("relation")))
+    m = meas(spark, sf, heavy=True).withColumn("class", V.activity_class(F.col("v"), F.col("relation")))
     return dedup.best_class_per_key(m, "key", "class", "ord", ("v",))
 
 

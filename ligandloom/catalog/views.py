@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligandloom.functions import fingerprints as FP
 from ligandloom.functions import values as V
 from ligandloom.session import spread
 
@@ -21,9 +20,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 _REL = "CASE l_returnflag WHEN 'A' THEN '>' WHEN 'R' THEN '<' ELSE '=' END"
 
 
-def meas(spark: SparkSession, sf: str) -> DataFrame:
-    """Measurements, from lineitem."""
-    return table(spark, sf, "lineitem").selectExpr(
+def meas(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    """Measurements, from lineitem; ``heavy`` spreads a table of few splits."""
+    rows = table(spark, sf, "lineitem")
+    return (spread(rows) if heavy else rows).selectExpr(
         "concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey,'-',l_extendedprice) AS ord",
         "concat('P',l_partkey,'-S',l_suppkey % 10) AS key",
         "concat('L',l_suppkey) AS id",
@@ -74,7 +74,7 @@ FROM lineitem"""
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Structures with copies, from documents; one language plays the invalid ones."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"),
         "source",
         "lang",
@@ -87,7 +87,7 @@ _KEY_SQL = r"trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))"
 
 def docs_raw(spark: SparkSession, sf: str) -> DataFrame:
     """All documents three times: as they are, padded, and with other punctuation."""
-    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    d = spread(table(spark, sf, "documents")).select("doc_id", "source", "text")
     n = F.col("doc_id") * 3
     return (
         d.select(n.alias("id"), "source", "text")
@@ -195,13 +195,6 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def doc_fingerprints(spark: SparkSession, sf: str, kind: str = "circular") -> DataFrame:
-    """Documents with the set bits of their words."""
-    d = spread(docs(spark, sf)).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
-    bits = FP.fingerprint(F.col("key"), F.col("toks"), kind, DOC_BITS, radius=DOC_RADIUS)
-    return d.withColumn("on_bits", bits).drop("toks")
-
-
 VIEW_USES = {
     "vbits": ("vec",),
     "vsim": ("vec", "vbits"),

@@ -50,24 +50,28 @@ def _once(col: Column, use: Callable[[Column], Column]) -> Column:
 
 def _bits(patterns: Column, n_bits: int) -> Column:
     found = F.transform(F.array_distinct(patterns), lambda g: hash_bit(g, n_bits))
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
+
+
+def _run(t: Column, first: Column, length: int) -> Column:
+    """Tokens first..first+length-1 joined by blanks; places outside are skipped.
+
+    Element access is constant time; ``slice`` copies the whole array per call.
+    """
+    return F.concat_ws(" ", *[F.get(t, first + k) for k in range(length)])
 
 
 def circular_bits(toks: Column, n_bits: int = N_BITS, radius: int = RADIUS) -> Column:
     """Every token with its surroundings of 0..radius tokens on both sides."""
 
-    def grams(t: Column) -> Column:
-        n = F.size(t)
-
-        def around(r: Column) -> Column:
-            def window(i: Column) -> Column:
-                start = F.greatest(i - r, F.lit(1))
-                width = F.least(i + r, n) - start + 1
-                return F.concat_ws("|", r.cast("string"), F.array_join(F.slice(t, start, width), " "))
+    def ring(t: Column, r: int) -> Column:
+        def window(_: Column, i: Column) -> Column:
+            return F.concat(F.lit(f"{r}|"), _run(t, i - r, 2 * r + 1))
 
-            return F.transform(_positions(F.lit(1), n), window)
+        return F.transform(t, window)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), around))
+    def grams(t: Column) -> Column:
+        return F.concat(*[ring(t, r) for r in range(radius + 1)])
 
     return _bits(_once(toks, grams), n_bits)
 
@@ -75,14 +79,12 @@ def circular_bits(toks: Column, n_bits: int = N_BITS, radius: int = RADIUS) -> C
 def path_bits(toks: Column, n_bits: int = N_BITS, longest: int = PATH_LENGTH) -> Column:
     """Every run of 1..longest tokens."""
 
-    def grams(t: Column) -> Column:
-        def runs(k: Column) -> Column:
-            return F.transform(
-                _positions(F.lit(1), F.size(t) - k + 1),
-                lambda i: F.concat_ws("|", F.lit("p"), F.array_join(F.slice(t, i, k), " ")),
-            )
+    def runs(t: Column, k: int) -> Column:
+        starts = _positions(F.lit(0), F.size(t) - k)
+        return F.transform(starts, lambda i: F.concat(F.lit("p|"), _run(t, i, k)))
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), runs))
+    def grams(t: Column) -> Column:
+        return F.concat(*[runs(t, k) for k in range(1, longest + 1)])
 
     return _bits(_once(toks, grams), n_bits)
 
@@ -90,16 +92,15 @@ def path_bits(toks: Column, n_bits: int = N_BITS, longest: int = PATH_LENGTH) ->
 def pair_bits(toks: Column, n_bits: int = N_BITS, farthest: int = PAIR_DISTANCE) -> Column:
     """Every two tokens with their distance, up to ``farthest`` apart."""
 
+    def pairs(t: Column, d: int) -> Column:
+        starts = _positions(F.lit(0), F.size(t) - 1 - d)
+        return F.transform(
+            starts,
+            lambda i: F.concat_ws("|", F.lit("a"), F.get(t, i), F.get(t, i + d), F.lit(str(d))),
+        )
+
     def grams(t: Column) -> Column:
-        def pairs(d: Column) -> Column:
-            return F.transform(
-                _positions(F.lit(1), F.size(t) - d),
-                lambda i: F.concat_ws(
-                    "|", F.lit("a"), F.get(t, i - 1), F.get(t, i - 1 + d), d.cast("string")
-                ),
-            )
-
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(farthest)), pairs))
+        return F.concat(*[pairs(t, d) for d in range(1, farthest + 1)])
 
     return _bits(_once(toks, grams), n_bits)
 

@@ -29,7 +29,7 @@ def first_valid(column: str, ord: str) -> Column:
 
 def join_sources(column: str) -> Column:
     """Sorted distinct values as one text."""
-    return F.array_join(F.array_sort(F.collect_set(column)), ", ")
+    return F.array_join(F.sort_array(F.collect_set(column)), ", ")
 
 
 def any_qualified(relation: str) -> Column:
