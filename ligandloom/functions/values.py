@@ -130,10 +130,9 @@ def canonical_key(col: Column, lower: bool = False, valid: str | None = None) ->
     form = F.trim(F.regexp_replace(col, r"[ \t\r\n]+", " "))
     if lower:
         form = F.lower(form)
-    ok = F.length(form) > 0
     if valid:
-        ok = ok & form.rlike(valid)
-    return F.when(ok, form)
+        form = F.when(form.rlike(valid), form)
+    return F.nullif(form, F.lit(""))
 
 
 def largest_fragment(col: Column, mark: str = ".") -> Column:
@@ -145,7 +144,7 @@ def largest_fragment(col: Column, mark: str = ".") -> Column:
 
 def coarse_key(col: Column) -> Column:
     """Identity that ignores case, blanks and punctuation."""
-    return F.md5(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]", ""))
+    return F.md5(F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", ""))
 
 
 def heavy_atoms(smiles: Column) -> Column:
