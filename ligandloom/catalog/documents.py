@@ -10,7 +10,6 @@ from ligandloom.functions import descriptors as D
 from ligandloom.functions import fingerprints as FP
 from ligandloom.functions import values as V
 from ligandloom.operators import assemble, curation, dedup, matching, ranking
-from ligandloom.session import settle
 from ligandloom.sources import readers
 
 _COARSE = r"md5(regexp_replace(lower(key), '[^\p{L}\p{N}]', '', 'g'))"
@@ -244,7 +243,7 @@ def _known(spark, sf):
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
     both = labels.join(docs(spark, sf), "id").withColumn("coarse", V.coarse_key(F.col("key")))
     actives = both.where("toxic = 1").withColumn("on_bits", _doc_bits(F.col("key")))
-    actives = settle(actives.select("coarse", "key", F.col("id").alias("ord"), "on_bits"))
+    actives = actives.select("coarse", F.col("id").alias("ord"), "on_bits")
     inactives = both.where("quality = 0 and toxic = 0").select("coarse")
     return actives, inactives
 

@@ -32,14 +32,15 @@ def slice_rank(
     by: Sequence[str] = (),
     tie: Sequence[str] = (),
     out: str = "rank",
-    upto: int | None = None,
+    upto: int | str | None = None,
     digits: int = HEX_DIGITS,
 ) -> DataFrame:
     """1-based rank by a hash text column within ``by``.
 
     The leading hex digits of a hash are evenly spread and keep its order, so
-    they are the slices. With ``upto`` slices that start behind it are dropped
-    before anything is sorted.
+    they are the slices. With ``upto``, a number or a column that is constant
+    within ``by``, slices that start behind it are dropped before anything is
+    sorted.
     """
     cut = df.withColumn("_slice", F.substring(order, 1, digits))
     keys = [*by, "_slice"]
@@ -49,14 +50,16 @@ def slice_rank(
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    if upto is not None:
-        starts = starts.where(F.col("_start") < upto)
+    last = F.col(upto) if isinstance(upto, str) else F.lit(upto)
+    if isinstance(upto, int):
+        starts = starts.where(F.col("_start") < last)
+    placed = cut.join(starts, keys)
+    if isinstance(upto, str):
+        placed = placed.where(F.col("_start") < last)
     inside = Window.partitionBy(*keys).orderBy(order, *tie)
-    ranked = cut.join(starts, keys).withColumn(
-        out, F.col("_start") + F.row_number().over(inside)
-    )
+    ranked = placed.withColumn(out, F.col("_start") + F.row_number().over(inside))
     if upto is not None:
-        ranked = ranked.where(F.col(out) <= upto)
+        ranked = ranked.where(F.col(out) <= last)
     return ranked.drop("_slice", "_start")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ligandloom.functions.fingerprints import tanimoto
+from ligandloom.session import settle
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 50_000
@@ -89,9 +90,12 @@ def nearest(
     ``row_key`` identifies a library row and is only needed beyond the
     broadcast bound. Without references the similarity is 0.
     """
-    refs = references.select(
-        F.col(ref_order).alias("_ord"), F.col(ref_key).cast("string").alias("_key"),
-        F.col(bits).alias("_bits"),
+    refs = settle(
+        references.select(
+            F.col(ref_order).alias("_ord"),
+            F.col(ref_key).cast("string").alias("_key"),
+            F.col(bits).alias("_bits"),
+        )
     )
     size = refs.agg(
         F.count(F.lit(1)).alias("n"),

@@ -62,13 +62,11 @@ def decoy_training_set(
     actives, inactives = (printed.where(F.col("label") == c) for c in (1, 0))
     need = assemble.n_needed(*assemble.require_classes(printed, "label"))
     width = FP.width(cfg.kind, cfg.n_bits)
-    # fingerprints only for rows that pass the cheap filters: the plan keeps them lazy
-    candidates = with_fingerprint(pool, KEY, cfg)
     make = matching.per_active_decoys if per_active else matching.window_matched_decoys
     extra = {"neutral": properties[-1]} if per_active else {}
     decoys = make(
-        candidates, actives, printed, KEY, "ord", properties, need, width,
-        limit=cfg.max_similarity, seed=cfg.seed, **extra,
+        pool, actives, printed, KEY, "ord", properties, need, width, limit=cfg.max_similarity,
+        seed=cfg.seed, fingerprint=lambda df: with_fingerprint(df, KEY, cfg), **extra,
     )
     return assemble.with_provenance(actives, inactives, decoys, KEY)
 

@@ -97,6 +97,12 @@ def test_nearest_equals_brute_force(spark, ways):
     assert {r["k"]: (r["max_sim"], r["nearest"]) for r in out.collect()} == brute(lib, ref)
 
 
+def test_matrix(spark):
+    df = spark.createDataFrame([("a", [1, 2]), ("b", [2]), ("c", [])], "k string, on_bits array<int>")
+    wide = S.similarity_matrix(S.similarity_pairs(df, "k"), ["a", "b", "c"]).orderBy("a").collect()
+    assert [tuple(r) for r in wide] == [("a", 1.0, 0.5, 0.0), ("b", 0.5, 1.0, 0.0), ("c", 0.0, 0.0, 1.0)]
+
+
 def test_nearest_without_references(spark):
     lib = spark.createDataFrame([("a", [1])], "k string, on_bits array<int>")
     none = spark.createDataFrame([], "k string, on_bits array<int>, o int")
