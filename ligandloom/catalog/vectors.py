@@ -103,10 +103,10 @@ SELECT o.pool, walk.pick AS active FROM walk JOIN o ON o.i = walk.i WHERE pick I
 def j7(spark, sf):
     pool, actives = _sides(spark, sf)
     fit = pool.where("charge = 0").withColumn("arrival", hash_order(F.col("vec_id"), 42))
-    pairs = matching.assignment_pairs(
+    won = matching.exclusive_assignment(
         fit, actives, "vec_id", "vec_id", "vec_id", PROPERTIES, TOL, "arrival"
     )
-    return matching.exclusive_assignment(pairs).select("pool", "active")
+    return won.select("pool", "active")
 
 
 _FAR = "AND p.vec_id IN (SELECT vec_id FROM vnear WHERE max_sim <= 0.5)"

@@ -60,8 +60,8 @@ def test_exclusive_assignment_equals_the_loop(spark, seed, n_pool, n_act, hot, n
     p, a = frames(spark, pool, act)
     p = p.withColumn("arrival", F.md5(F.col("id").cast("string")))
     arrival = {r["id"]: r["arrival"] for r in p.collect()}
-    pairs = M.assignment_pairs(p, a, "id", "id", "id", COLS, TOL, "arrival")
-    got = {r["pool"]: r["active"] for r in M.exclusive_assignment(pairs, need).collect()}
+    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival", need)
+    got = {r["pool"]: r["active"] for r in won.collect()}
     assert got == loop(pool, act, arrival, need)
     assert len(set(got.values())) == len(got)
 
@@ -69,8 +69,20 @@ def test_exclusive_assignment_equals_the_loop(spark, seed, n_pool, n_act, hot, n
 def test_no_pairs(spark):
     p, a = frames(spark, [(1, 0.0, 0.0, 0.0)], [(2, 900.0, 0.0, 0.0)])
     p = p.withColumn("arrival", F.md5(F.col("id").cast("string")))
-    pairs = M.assignment_pairs(p, a, "id", "id", "id", COLS, TOL, "arrival")
-    assert M.exclusive_assignment(pairs).count() == 0
+    assert M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival").count() == 0
+
+
+def test_equal_rows_settle_in_few_rounds(spark, monkeypatch):
+    """Hundreds of equal actives and pool rows: about one round per choice does, not one per row."""
+    monkeypatch.setattr(M, "ROUNDS", 25)
+    rng = random.Random(9)
+    act = [(1000 + i, 0.0, 0.0, 0.0) for i in range(300)] + [(2000 + i, rng.uniform(5, 25), 0.3, 0.0) for i in range(20)]
+    pool = [(i, 1.0 if i % 3 else 2.5, 0.1, 0.0) for i in range(700)]
+    p, a = frames(spark, pool, act)
+    p = p.withColumn("arrival", F.md5(F.col("id").cast("string")))
+    arrival = {r["id"]: r["arrival"] for r in p.collect()}
+    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival")
+    assert {r["pool"]: r["active"] for r in won.collect()} == loop(pool, act, arrival)
 
 
 def brute(lib, ref):
