@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ligandloom.llm import decontaminate, simhash, toxicity
+from ligandloom.llm import decontaminate, pieces, secret_scan, simhash, toxicity
 from ligandloom.llm.common import read
 
 
@@ -40,3 +40,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+
+
+@register("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_digest(read(spark, sf_dir, "documents"))
