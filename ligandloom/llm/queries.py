@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ligandloom.llm import decontaminate, pieces, secret_scan, simhash, toxicity
+from ligandloom.llm import adaptive_rules, decontaminate, pieces, secret_scan, sharding, simhash, toxicity
 from ligandloom.llm.common import read
 
 
@@ -50,3 +50,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_sentencepiece")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_digest(read(spark, sf_dir, "documents"))
+
+
+@register("op3_adaptive_rules", adaptive_rules.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.judge(read(spark, sf_dir, "documents"))
+
+
+@register("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(read(spark, sf_dir, "documents"))
