@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ligandloom.llm import adaptive_rules, decontaminate, pieces, secret_scan, sharding, simhash, toxicity
+from ligandloom.llm import adaptive_rules, decontaminate, html_text, pieces, secret_scan, sharding, simhash, toxicity
 from ligandloom.llm.common import read
 
 
@@ -60,3 +60,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_sharding")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(read(spark, sf_dir, "documents"))
+
+
+@register("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
