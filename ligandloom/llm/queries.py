@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ligandloom.llm import adaptive_rules, decontaminate, html_text, pieces, secret_scan, sharding, simhash, toxicity
+from ligandloom.llm import adaptive_rules, decontaminate, html_text, pieces, secret_scan, sharding, simhash, suffix_lm, toxicity
 from ligandloom.llm.common import read
 
 
@@ -65,3 +65,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_html_text")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
+@register("op5_suffix_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_documents(read(spark, sf_dir, "documents"))
