@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ligandloom.llm import adaptive_rules, decontaminate, html_text, pieces, secret_scan, sharding, simhash, suffix_lm, toxicity
+from ligandloom.llm import adaptive_rules, decontaminate, html_text, line_crf, pieces, secret_scan, sharding, simhash, suffix_lm, toxicity
 from ligandloom.llm.common import read
 
 
@@ -70,3 +70,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_suffix_lm")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+@register("op2_line_crf")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
