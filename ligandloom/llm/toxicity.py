@@ -36,6 +36,8 @@ SEED = (
 SHARE, LEAST, RATIO = 0.005, 4, 15.0
 #: Most terms of the learned lexicon, the most frequent ones first: a size of the model.
 TERMS = 1000
+#: The curve and the lexicon are fitted on at most so many labelled rows of each class, chosen by a hash of their keys.
+SAMPLE = 20_000
 WINDOW = 8
 QUOTED, ADDRESSED = 0.25, 1.25
 THRESHOLD = 0.3
@@ -266,7 +268,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 
 
 def fit(train: DataFrame) -> Model:
-    """Learn from (body binary, toxic int): all rows of it, in four passes whose results are small."""
+    """Learn from (body binary, toxic int), in four passes over it whose results are small."""
     terms = learn_terms(train)
 
     def find(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -318,15 +320,27 @@ def score_column(model: Model, text: str | Column) -> Column:
     return run(raw(text))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(body, toxic) of the labelled rows whose key is in the training part. Null and conflicting labels teach nothing."""
+def training_rows(
+    docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE
+) -> DataFrame:
+    """(body, toxic) of at most ``sample`` labelled rows of each class, from the training part of the keys.
+
+    Null and conflicting labels teach nothing. The chosen keys are bounded, so
+    they are broadcast and no text is shuffled to meet its label.
+    """
     known = (
-        labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(key).alias("key"))
+        labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1) & (fold(key, 4) != 2))
+        .groupBy(F.col(key).alias("key"))
         .agg(F.max("toxic").cast("int").alias("toxic"), F.min("toxic").alias("least")).where("toxic = least")
+        .select("key", "toxic")
     )
-    return (
-        docs.where(fold(key, 4) != 2).select(F.col(key).alias("key"), raw(text).alias("body"))
-        .join(known, "key").select("body", "toxic")
+    chosen = [
+        known.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(5), "key"), "key").limit(sample) for y in (0, 1)
+    ]
+    return stored(
+        docs.select(F.col(key).alias("key"), raw(text).alias("body"))
+        .join(F.broadcast(chosen[0].unionByName(chosen[1])), "key").select("body", "toxic"),
+        "training",
     )
 
 
