@@ -23,7 +23,8 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligandloom.llm.common import arrow_rows, raw, words_of
@@ -217,21 +218,22 @@ def leaks(
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def clean_column(index: Index, text: str | Column) -> Column:
+    """True where a text holds no item of the index."""
+
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        out: list[bool] = []
+        for group in grouped(((t,) for t in texts.to_pylist()), 0):
+            bad = {d for d, *_ in find_leaks(index, [x[0] or b"" for x in group])}
+            out += [k not in bad for k in range(len(group))]
+        return pa.array(out, pa.bool_())
+
+    return run(raw(text))
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay whatever their names."""
-    import pyarrow as pa
-
-    kept = docs
     for part in _passes(items, "item_id", item_text):
-        index = build_index(part)
-
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array, index: Index = index) -> pa.Array:
-            out: list[bool] = []
-            for group in grouped(((t,) for t in texts.to_pylist()), 0):
-                bad = {d for d, *_ in find_leaks(index, [x[0] or b"" for x in group])}
-                out += [k not in bad for k in range(len(group))]
-            return pa.array(out, pa.bool_())
-
-        kept = kept.where(clean(raw(text)))
-    return kept
+        docs = docs.where(clean_column(build_index(part), text))
+    return docs
