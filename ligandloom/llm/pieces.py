@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ligandloom.llm.tokens import mix
+from ligandloom.llm.tokens import grouped, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words times positions that are searched at once, and words that a worker remembers.
 CELLS, MEMO = 1 << 15, 300_000
+#: Characters of the texts whose words are collected together.
+GROUP = 1 << 20
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -181,9 +183,17 @@ class Encoder:
         return [b"".join(map(self.memo.__getitem__, words)) for words in cut]
 
 
-def decode(model: Pieces, ids: list[int]) -> str:
-    text = b"".join(map(model.spoken.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if model.prefix and text.startswith(" ") else text
+def decode(model: Pieces, ids: np.ndarray, stops: np.ndarray) -> list[str]:
+    """Texts of several id sequences, laid end to end; each ends at its place in ``stops``."""
+    size = np.array([len(x) for x in model.spoken])
+    begin = np.cumsum(size) - size
+    sound = np.frombuffer(b"".join(model.spoken), np.uint8)
+    n = size[ids]
+    ends = np.cumsum(n)
+    data = sound[np.repeat(begin[ids] - (ends - n), n) + np.arange(n.sum())].tobytes()
+    cut = np.r_[0, ends][stops].tolist()
+    out = [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *cut], cut)]
+    return [t[1:] if model.prefix and t.startswith(" ") else t for t in out]
 
 
 def encode_column(model: Pieces, text: str | Column) -> Column:
@@ -193,9 +203,9 @@ def encode_column(model: Pieces, text: str | Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(model)
         for texts in batches:
-            lists, some = [], texts.to_pylist()
-            for k in range(0, len(some), 4096):
-                lists += encoder.encode([t or "" for t in some[k : k + 4096]])
+            lists = []
+            for group in grouped(((t.as_py(),) for t in texts), 0, GROUP):
+                lists += encoder.encode([t or "" for (t,) in group])
             offsets = np.r_[0, np.cumsum([len(x) // 4 for x in lists])].astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(lists), "<i4")))
 
@@ -207,7 +217,12 @@ def decode_column(model: Pieces, ids: str | Column) -> Column:
 
     @F.arrow_udf("string")
     def run(arrays: pa.Array) -> pa.Array:
-        return pa.array([decode(model, x or []) for x in arrays.to_pylist()], pa.string())
+        out: list[str] = []
+        for k in range(0, len(arrays), 256):
+            part = arrays.slice(k, 256)
+            sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out += decode(model, part.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+        return pa.array(out, pa.string())
 
     return run(F.col(ids) if isinstance(ids, str) else ids)
 
