@@ -184,11 +184,7 @@ def j1(spark, sf):
 
 
 @query("j13_assay_compounds", "meas", f"""
-WITH a AS (SELECT DISTINCT id AS assay FROM meas WHERE source = 'A' ORDER BY id LIMIT 60),
-i AS (SELECT key AS id, max(CASE WHEN {_LABEL} = 1 THEN 1 ELSE 0 END) AS active
- FROM meas WHERE source = 'A' AND id IN (SELECT assay FROM a) GROUP BY key),
-n AS (SELECT *, row_number() OVER (PARTITION BY active ORDER BY id) AS rn FROM i)
-SELECT id, active FROM n WHERE rn <= 6000""")
+SELECT key AS id, max(CASE WHEN {_LABEL} = 1 THEN 1 ELSE 0 END) AS active FROM meas WHERE source = 'A' GROUP BY key""")
 def j13(spark, sf):
     links = labelled(spark, sf).select(
         F.col("source").alias("target"),

@@ -16,7 +16,8 @@ from pyspark.ml.functions import vector_to_array
 
 TOL = matching.TOLERANCE
 SIM = 0.5
-NEED = 40
+#: How many negatives are missing: actives minus measured inactives, the documents of label 3.
+NEED = "(SELECT greatest(0, count(*) FILTER (active = 1) - count(*) FILTER (active = 0 AND label = 3)) FROM vec)"
 
 
 def _sides(spark, sf):
@@ -24,6 +25,11 @@ def _sides(spark, sf):
     return v.where("active = 0"), v.where("active = 1")
 
 
+def _need(spark, sf) -> int:
+    measured = vec(spark, sf).where("active = 1 OR label = 3")
+    return assemble.n_needed(*assemble.class_sizes(measured, "active"))
+
+
 _WINDOW = "\nUNION ALL ".join(
     f"SELECT '{p}' AS feature, count({p}) AS n, {r(f'quantile_cont({p}, 0.05)', 9)} AS lo, {r(f'quantile_cont({p}, 0.95)', 9)} AS hi"
     " FROM vec WHERE active = 1"
@@ -126,7 +132,7 @@ def u6(spark, sf):
     known = actives.select("vec_id").union(measured.select("vec_id"))
     decoys = matching.per_active_decoys(
         pool.withColumn("ord", F.col("vec_id")), actives.withColumn("ord", F.col("vec_id")), known,
-        "vec_id", "ord", PROPERTIES, NEED, VEC_BITS, TOL, SIM, neutral="charge",
+        "vec_id", "ord", PROPERTIES, _need(spark, sf), VEC_BITS, TOL, SIM, neutral="charge",
     )
     return assemble.with_provenance(actives, measured, decoys, "vec_id")
 
@@ -137,23 +143,24 @@ _NEAR = "SELECT vec_id, max_sim, aid::VARCHAR AS nearest FROM vnear"
 @query("j8_nearest_active", "vnear", _NEAR)
 def j8(spark, sf):
     pool, actives = _sides(spark, sf)
-    return S.nearest(pool.select("vec_id", "on_bits"), actives, "vec_id", "vec_id", "vec_id", n_bits=VEC_BITS).drop("on_bits")
+    return S.nearest(pool.select("vec_id", "on_bits"), actives, "vec_id", "vec_id", n_bits=VEC_BITS).drop("on_bits")
 
 
-@query("j8_nearest_active_blocks", "vnear", _NEAR)
+@query("j8_nearest_active_blocks", "vnear", """
+SELECT CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'same' ELSE vec_id::VARCHAR END AS row_key, max_sim, aid::VARCHAR AS nearest FROM vnear""")
 def j8_blocks(spark, sf):
-    """Same result by slices and blocks, as for references too many to broadcast."""
+    """Same result for references in many chunks, on a library with missing and repeated keys."""
     pool, actives = _sides(spark, sf)
+    key = F.when(F.col("vec_id") % 4 == 0, F.lit(None)).when(F.col("vec_id") % 4 == 1, "same").otherwise(F.col("vec_id").cast("string"))
     return S.nearest(
-        pool.select("vec_id", "on_bits"), actives, "vec_id", "vec_id", "vec_id",
-        n_bits=VEC_BITS, broadcast_bytes=0, block_rows=100,
+        pool.select(key.alias("row_key"), "on_bits"), actives, "vec_id", "vec_id", n_bits=VEC_BITS, chunk_bytes=8000
     ).drop("on_bits")
 
 
 @query("j9_dissimilar", "vnear", f"SELECT vec_id, {r('max_sim', 3)} AS max_sim FROM vnear WHERE max_sim <= {SIM}")
 def j9(spark, sf):
     pool, actives = _sides(spark, sf)
-    found = S.nearest(pool.select("vec_id", "on_bits"), actives, "vec_id", "vec_id", "vec_id", n_bits=VEC_BITS)
+    found = S.nearest(pool.select("vec_id", "on_bits"), actives, "vec_id", "vec_id", n_bits=VEC_BITS)
     return S.dissimilar(found, SIM).select("vec_id", V.half_even(F.col("max_sim"), 3).alias("max_sim"))
 
 
@@ -190,7 +197,7 @@ def u8(spark, sf):
     known = actives.select("vec_id").union(pool.where("label = 3").select("vec_id"))
     decoys = matching.window_matched_decoys(
         pool.withColumn("ord", F.col("vec_id")), actives.withColumn("ord", F.col("vec_id")), known,
-        "vec_id", "ord", PROPERTIES, NEED, VEC_BITS, SIM,
+        "vec_id", "ord", PROPERTIES, _need(spark, sf), VEC_BITS, SIM,
     )
     return decoys.select("vec_id", V.half_even(F.col("max_sim"), 3).alias("max_sim"), "rank")
 
@@ -201,7 +208,7 @@ ORDER BY md5(concat('42|', vec_id)), vec_id LIMIT {NEED}""")
 def u9(spark, sf):
     pool, actives = _sides(spark, sf)
     out = matching.size_matched_decoys(
-        pool.withColumn("ord", F.col("vec_id")), actives, "vec_id", "ord", "p1", NEED
+        pool.withColumn("ord", F.col("vec_id")), actives, "vec_id", "ord", "p1", _need(spark, sf)
     )
     return out.select("vec_id")
 
@@ -214,14 +221,20 @@ def a26(spark, sf):
 _FEATS = PROPERTIES[:5]
 
 
-@query("a21_effect_size", "vec", "SELECT feature, " + ", ".join(
+_HOLED = "SELECT active, " + ", ".join(f"CASE WHEN vec_id % {7 + k} <> 0 THEN {p} END AS {p}" for k, p in enumerate(_FEATS)) + " FROM vec"
+
+
+@query("a21_effect_size", "vec", f"WITH h AS ({_HOLED}) SELECT feature, " + ", ".join(
     f"{r(c, 6)} AS {c}" for c in ("active_mean", "inactive_mean", "std_all", "std_effect")
 ) + " FROM (" + " UNION ALL ".join(
-    f"""SELECT '{p}' AS feature, avg({p}) FILTER (active = 1) AS active_mean, avg({p}) FILTER (active = 0) AS inactive_mean,
- stddev_samp({p}) AS std_all, (avg({p}) FILTER (active = 1) - avg({p}) FILTER (active = 0)) / nullif(stddev_samp({p}), 0) AS std_effect
- FROM vec""" for p in _FEATS) + ")")
+    f"""SELECT '{p}' AS feature, avg(v) FILTER (active = 1) AS active_mean, avg(v) FILTER (active = 0) AS inactive_mean,
+ stddev_samp(v) AS std_all, (avg(v) FILTER (active = 1) - avg(v) FILTER (active = 0)) / nullif(stddev_samp(v), 0) AS std_effect
+ FROM (SELECT active, coalesce({p}, (SELECT quantile_cont({p}, 0.5) FROM h)) AS v FROM h)""" for p in _FEATS) + ")")
 def a21(spark, sf):
-    out = features.effect_size(vec(spark, sf), _FEATS, "active")
+    """Missing cells count as the median."""
+    v = vec(spark, sf)
+    holed = v.withColumns({p: F.when(F.col("vec_id") % (7 + k) != 0, F.col(p)) for k, p in enumerate(_FEATS)})
+    out = features.effect_size(holed, _FEATS, "active")
     cols = ("active_mean", "inactive_mean", "std_all", "std_effect")
     return out.select("feature", *[V.half_even(F.col(c), 6).alias(c) for c in cols])
 

@@ -101,7 +101,7 @@ def label_potency(potency_col: Column, threshold: float = POTENT_PIC50) -> Colum
 
 
 def activity_class(value: Column, relation: Column) -> Column:
-    """active / gray / inactive / amb, qualifiers taken into account."""
+    """active / gray / inactive / amb, qualifiers taken into account; a missing value has no class."""
     lower = F.coalesce(F.trim(relation).isin(*LOWER_BOUND), F.lit(False))
     bounded = (
         F.when(value >= GRAY_MAX_NM, "inactive").when(value > ACTIVE_MAX_NM, "gray").otherwise("amb")
@@ -109,7 +109,7 @@ def activity_class(value: Column, relation: Column) -> Column:
     exact = (
         F.when(value <= ACTIVE_MAX_NM, "active").when(value < GRAY_MAX_NM, "gray").otherwise("inactive")
     )
-    return F.when(lower, bounded).otherwise(exact)
+    return F.when(value.isNull(), F.lit(None)).when(lower, bounded).otherwise(exact)
 
 
 def in_gray_zone(value: Column, relation: Column) -> Column:

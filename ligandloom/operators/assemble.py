@@ -55,6 +55,8 @@ def class_sizes(df: DataFrame, label: str) -> tuple[int, int]:
 def require_classes(df: DataFrame, label: str) -> tuple[int, int]:
     """Both classes must occur before anything costly starts."""
     n_act, n_ina = class_sizes(df, label)
+    if not df.where(F.col(label).isNotNull() & ~F.col(label).isin(0, 1)).isEmpty():
+        raise ValueError("labels other than 0 and 1")
     if n_act + n_ina == 0:
         raise ValueError("no labelled rows")
     if n_act == 0 or n_ina == 0:
@@ -191,14 +193,13 @@ def number_batches(
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """n / (2 n_class) as row weight; the class sizes are a handful of rows."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n = df.count()
-    return (
-        df.join(F.broadcast(sizes), label)  # one row per class
-        .withColumn(out, F.lit(float(n)) / (F.lit(2.0) * F.col("_n")))
-        .drop("_n")
+    """n / (2 n_class) as row weight, of the labels 0 and 1; other labels get no weight."""
+    n_act, n_ina = class_sizes(df, label)
+    n = float(n_act + n_ina)
+    weight = F.when(F.col(label) == 1, F.lit(n / max(2.0 * n_act, 1.0))).when(
+        F.col(label) == 0, F.lit(n / max(2.0 * n_ina, 1.0))
     )
+    return df.withColumn(out, weight)
 
 
 def cohort(df: DataFrame, **wanted: object) -> DataFrame:

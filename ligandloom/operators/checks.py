@@ -33,12 +33,13 @@ def labels_agree(tables: Mapping[str, DataFrame], row_id: str, label: str) -> Da
     """
     stacked = None
     for name, df in tables.items():
-        part = df.select(row_id, F.coalesce(F.col(label), F.lit(-9)).alias("_l"), F.lit(name).alias("_t"))
+        value = F.struct(F.col(label).isNull().alias("none"), F.col(label).alias("l"))
+        part = df.select(row_id, value.alias("_l"), F.lit(name).alias("_t"))
         stacked = part if stacked is None else stacked.unionByName(part)
     rows = stacked.groupBy(row_id).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_l").alias("_lo"), F.max("_l").alias("_hi")
     )
-    same = (F.col("_n") == len(tables)) & (F.col("_lo") == F.col("_hi"))
+    same = (F.col("_n") == len(tables)) & F.col("_lo").eqNullSafe(F.col("_hi"))
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_consistent"))
 
 

@@ -163,23 +163,13 @@ def potency_rows(
     return first.withColumn("active", V.label_potency(F.col("potency"), threshold))
 
 
-def assay_compounds(
-    links: DataFrame, target: str, max_assays: int = 60, max_ids: int = 6000
-) -> DataFrame:
-    """(id, active) of a target's assays; an id active anywhere is active.
+def assay_compounds(links: DataFrame, target: str) -> DataFrame:
+    """(id, active) of all of a target's assays; an id active anywhere is active.
 
-    ``links`` has target, assay, id, outcome. The caps bound the service
-    replies: the first assays by number and the first ids per class.
+    ``links`` has target, assay, id, outcome.
     """
-    mine = links.where(F.col("target") == target)
-    assays = mine.select("assay").distinct().orderBy("assay").limit(max_assays)
-    ids = (
-        mine.join(assays, "assay", "left_semi")
-        .groupBy("id")
-        .agg(F.max(F.when(F.col("outcome") == "active", 1).otherwise(0)).alias("active"))
-    )
-    parts = [ids.where(F.col("active") == c).orderBy("id").limit(max_ids) for c in (1, 0)]
-    return parts[0].unionByName(parts[1])
+    active = F.max(F.when(F.col("outcome") == "active", 1).otherwise(0))
+    return links.where(F.col("target") == target).groupBy("id").agg(active.alias("active"))
 
 
 def attach_structures(ids: DataFrame, structures: DataFrame, id: str = "id") -> DataFrame:

@@ -71,7 +71,8 @@ def impute_medians(
 
 def effect_size(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Class means and standardised difference per feature, after median fill."""
-    long = df.select(label, *columns).unpivot([label], list(columns), "feature", "value")
+    filled = impute_medians(df, columns)
+    long = filled.select(label, *columns).unpivot([label], list(columns), "feature", "value")
     active = F.avg(F.when(F.col(label) == 1, F.col("value")))
     inactive = F.avg(F.when(F.col(label) == 0, F.col("value")))
     grouped = long.groupBy("feature").agg(

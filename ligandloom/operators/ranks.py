@@ -125,7 +125,7 @@ def running_totals(
         *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_s_{o}") for o in sums],
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_UPTO)
-    return ranged.join(starts, keys).select(
+    return _join_null_safe(ranged, starts, keys, "inner").select(
         *df.columns,
         *[(F.col(f"_s_{o}") + F.sum(c).over(inside)).alias(o) for o, c in sums.items()],
     )
@@ -142,7 +142,7 @@ def split_percentiles(
     )
     ranked = running_totals(distinct, [value], {"_cum": "_c"}, keys)
     sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = ranked.join(sizes, list(keys))
+    placed = _join_null_safe(ranked, sizes, list(keys), "inner")
     aggs = []
     for out, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -181,17 +181,25 @@ def group_with_percentiles(
     hot = hot_keys(df, keys, limit)
     if hot.isEmpty():
         return df.groupBy(*keys).agg(*aggs, *plain)
-    hot = settle(hot)
-    cold = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*aggs, *plain)
-    heavy = df.join(hot, keys, "left_semi")
+    hot = settle(hot).select(*[F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{i}")) for i, k in enumerate(keys)]
+    cold = df.join(hot, same, "left_anti").groupBy(*keys).agg(*aggs, *plain)
+    heavy = df.join(hot, same, "left_semi")
     counted = F.count(F.lit(1)).alias("_rows")
     split = heavy.groupBy(*keys).agg(counted, *aggs)
     for column in dict.fromkeys(c for c, _ in percentiles.values()):
         probs = {o: p for o, (c, p) in percentiles.items() if c == column}
-        split = split.join(split_percentiles(heavy, keys, column, probs), keys, "left")
+        split = _join_null_safe(split, split_percentiles(heavy, keys, column, probs), keys, "left")
     return cold.unionByName(split.drop("_rows"))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on the keys where a null equals a null."""
+    right = right.withColumnsRenamed({k: f"_r_{i}" for i, k in enumerate(keys)})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{i}")) for i, k in enumerate(keys)]
+    return left.join(right, on, how).drop(*[f"_r_{i}" for i in range(len(keys))])
+
+
 def column_percentiles(
     df: DataFrame,
     columns: Sequence[str],

@@ -1,15 +1,14 @@
 """Tanimoto joins between a library and a set of reference fingerprints.
 
 Finding the nearest of m references means comparing with all m, so the work is
-rows x m by nature. What Spark decides is how the two sides meet:
-
-* references up to a checked size travel to every task once, the library is
-  not shuffled and every task streams over its Arrow batches;
-* more references than that are cut into even blocks, and so is the library;
-  each (slice, block) pair is one bounded group and the block results are
-  reduced with a map-side combined maximum.
-
-Bits are packed to 64-bit words and compared with numpy's population count.
+rows x m by nature. The library is never shuffled or copied: the references are
+walked in chunks of bounded size, each sent to every task once, and a row
+carries its best so far from chunk to chunk. Any number of references, and any
+repeated or missing keys, take the same way and give the same rows.
+
+Bits are packed to 64-bit words and compared with numpy's population count. A
+similarity cannot exceed min(n) / max(n) of the two numbers of set bits, so
+whole bands of references of another size are passed over.
 """
 
 from __future__ import annotations
@@ -19,15 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ligandloom.functions.fingerprints import tanimoto
+from ligandloom.operators import ranks
 from ligandloom.session import settle
 
-BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 50_000
-PAIRS_AT_ONCE = 2_000_000
+#: Bytes of one chunk of references, and how many chunks are walked before the rows so far are written.
+CHUNK_BYTES = 64 << 20
+CHUNKS_AT_ONCE = 4
+BAND = 256
+ROWS_AT_ONCE = 4096
 
 
 def pack_bits(bits: pa.Array, n_bits: int) -> np.ndarray:
@@ -41,150 +43,122 @@ def pack_bits(bits: pa.Array, n_bits: int) -> np.ndarray:
     return np.packbits(flat, axis=1, bitorder="little").view(np.uint64)
 
 
-def best_match(lib: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Highest Tanimoto of each library row and the first reference that has it."""
-    sims = np.zeros(len(lib))
-    picks = np.zeros(len(lib), dtype=np.int64)
+def _ceiling(lo: int, hi: int, low: int, high: int) -> float:
+    """Highest possible similarity of sets of lo ... hi bits and of low ... high bits."""
+    if hi >= low and high >= lo:
+        return 1.0
+    return hi / low if hi < low else high / lo
+
+
+def best_match(
+    lib: np.ndarray, ref: np.ndarray, best: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Highest Tanimoto of each library row and the first reference that has it.
+
+    With ``best``, the similarities so far, only higher ones count; the pick
+    of a row that has none is -1.
+    """
+    sims = np.full(len(lib), -1.0) if best is None else best.copy()
+    picks = np.full(len(lib), -1, dtype=np.int64)
     n_lib = np.bitwise_count(lib).sum(axis=1, dtype=np.int32)
     n_ref = np.bitwise_count(ref).sum(axis=1, dtype=np.int32)
-    step = max(1, PAIRS_AT_ONCE // max(1, len(ref)))
-    for at in range(0, len(lib), step):
-        part = lib[at : at + step]
-        shared = np.zeros((len(part), len(ref)), dtype=np.int32)
-        for w in range(lib.shape[1]):
-            shared += np.bitwise_count(part[:, w, None] & ref[None, :, w])
-        joint = n_lib[at : at + step, None] + n_ref[None, :] - shared
-        sim = np.where(joint == 0, 1.0, shared / np.maximum(joint, 1))
-        picks[at : at + step] = sim.argmax(axis=1)
-        sims[at : at + step] = sim.max(axis=1)
+    by_size = np.argsort(n_ref, kind="stable")
+    bands = [np.sort(by_size[at : at + BAND]) for at in range(0, len(ref), BAND)]
+    spans = [(int(n_ref[b].min()), int(n_ref[b].max())) for b in bands]
+    rows_by_size = np.argsort(n_lib, kind="stable")
+    for at in range(0, len(lib), ROWS_AT_ONCE):
+        rows = rows_by_size[at : at + ROWS_AT_ONCE]
+        lo, hi = int(n_lib[rows[0]]), int(n_lib[rows[-1]])
+        reach = [_ceiling(lo, hi, *span) for span in spans]
+        for k in sorted(range(len(bands)), key=lambda k: -reach[k]):
+            # an equal similarity may still have an earlier reference
+            open_rows = rows[sims[rows] <= reach[k]]
+            if not len(open_rows):
+                continue
+            part, band = lib[open_rows], bands[k]
+            shared = np.zeros((len(part), len(band)), dtype=np.int32)
+            for w in range(lib.shape[1]):
+                shared += np.bitwise_count(part[:, w, None] & ref[None, band, w])
+            joint = n_lib[open_rows, None] + n_ref[None, band] - shared
+            sim = np.where(joint == 0, 1.0, shared / np.maximum(joint, 1))
+            found, first = sim.max(axis=1), band[sim.argmax(axis=1)]
+            old = picks[open_rows]
+            better = (found > sims[open_rows]) | ((found == sims[open_rows]) & (old >= 0) & (first < old))
+            sims[open_rows[better]], picks[open_rows[better]] = found[better], first[better]
     return sims, picks
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
-def _result_schema(df: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("max_sim", T.DoubleType()),
-            T.StructField("nearest", T.StringType()),
-        ]
+def _chunks(references: DataFrame, ref_key: str, ref_order: str, bits: str, n_bits: int, chunk_bytes: int):
+    """The references in order, as (packed bits, keys) of bounded size."""
+    refs = settle(
+        references.select(
+            F.col(ref_order).alias("_ord"), F.col(ref_key).cast("string").alias("_key"), F.col(bits).alias("_bits")
+        )
     )
+    size = refs.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.coalesce(F.length("_key"), F.lit(0)) + n_bits // 8 + F.coalesce(F.size("_bits"), F.lit(0)) * 4).alias("b"),
+    ).first()
+    n = math.ceil((size["b"] or 0) / chunk_bytes)
+    if n > 1:
+        step = math.ceil(size["n"] / n)
+        refs = settle(ranks.dense_number(refs, ["_ord", "_key"], "_no"))
+        parts = [refs.where(F.col("_no").between(k * step + 1, (k + 1) * step)) for k in range(math.ceil(size["n"] / step))]
+    else:
+        parts = [refs] * n
+    for part in parts:
+        table = part.orderBy("_ord", "_key").toArrow()
+        yield pack_bits(table["_bits"], n_bits), np.array(table["_key"].to_pylist(), dtype=object)
 
 
 def nearest(
     library: DataFrame,
     references: DataFrame,
-    row_key: str,
     ref_key: str,
     ref_order: str,
     bits: str = "on_bits",
     n_bits: int = 1024,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Add ``max_sim`` and ``nearest`` (ties: lowest ``ref_order``) to each library row.
 
-    ``row_key`` identifies a library row and is only needed beyond the
-    broadcast bound. Without references the similarity is 0.
+    Without references the similarity is 0. Repeated and missing keys on
+    either side are rows like any other.
     """
-    refs = settle(
-        references.select(
-            F.col(ref_order).alias("_ord"),
-            F.col(ref_key).cast("string").alias("_key"),
-            F.col(bits).alias("_bits"),
-        )
-    )
-    size = refs.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.length("_key") + n_bits // 8 + F.size("_bits") * 4), F.lit(0)).alias("b"),
-    ).first()
-    if size["n"] == 0:
-        return library.withColumn("max_sim", F.lit(0.0)).withColumn(
-            "nearest", F.lit(None).cast("string")
-        )
-    if size["b"] <= broadcast_bytes:
-        return _against_all(library, refs, bits, n_bits)
-    n_blocks = math.ceil(size["n"] / block_rows)
-    return _against_blocks(library, refs, row_key, bits, n_bits, n_blocks, block_rows)
-
-
-def _against_all(library: DataFrame, refs: DataFrame, bits: str, n_bits: int) -> DataFrame:
-    table = refs.orderBy("_ord").toArrow()  # size checked by the caller
-    packed = pack_bits(table["_bits"], n_bits)
-    names = np.array(table["_key"].to_pylist(), dtype=object)
-    sent = library.sparkSession.sparkContext.broadcast((packed, names))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref, keys = sent.value
-        for batch in batches:
-            sims, picks = best_match(pack_bits(batch.column(bits), n_bits), ref)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sims), pa.array(keys[picks], pa.string())],
-                names=[*batch.schema.names, "max_sim", "nearest"],
-            )
-
-    return library.mapInArrow(scan, _result_schema(library))
-
-
-def _against_blocks(
-    library: DataFrame,
-    refs: DataFrame,
-    row_key: str,
-    bits: str,
-    n_bits: int,
-    n_blocks: int,
-    block_rows: int,
-) -> DataFrame:
-    n_slices = max(1, math.ceil(library.count() / block_rows))
-    lib_row = T.StructField(row_key, library.schema[row_key].dataType)
-    ord_type = refs.schema["_ord"].dataType
-    left = (
-        library.select(row_key, F.col(bits).alias("_bits"))
-        .withColumn("_slice", F.pmod(F.xxhash64(row_key), F.lit(n_slices)))
-        .withColumn("_block", F.explode(_numbers(n_blocks)))
-    )
-    right = refs.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(n_blocks))).withColumn(
-        "_slice", F.explode(_numbers(n_slices))
-    )
     schema = T.StructType(
         [
-            lib_row,
-            T.StructField("_sim", T.DoubleType()),
-            T.StructField("_ord", ord_type),
-            T.StructField("_key", T.StringType()),
+            *library.schema.fields,
+            T.StructField("max_sim", T.DoubleType()),
+            T.StructField("nearest", T.StringType()),
         ]
     )
-
-    def compare(lib: pa.Table, ref: pa.Table) -> pa.Table:
-        ref = ref.sort_by("_ord")
-        if len(lib) == 0 or len(ref) == 0:
-            return pa.table(
-                {
-                    row_key: lib[row_key].slice(0, 0),
-                    "_sim": pa.array([], pa.float64()),
-                    "_ord": ref["_ord"].slice(0, 0),
-                    "_key": ref["_key"].slice(0, 0),
-                }
-            )
-        sims, picks = best_match(pack_bits(lib["_bits"], n_bits), pack_bits(ref["_bits"], n_bits))
-        won = ref.take(pa.array(picks))
-        return pa.table(
-            {row_key: lib[row_key], "_sim": pa.array(sims), "_ord": won["_ord"], "_key": won["_key"]}
-        )
-
-    pair = ["_slice", "_block"]
-    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(compare, schema)
-    # highest similarity first, then lowest order
-    best = found.groupBy(row_key).agg(
-        F.max("_sim").alias("max_sim"),
-        F.min(F.struct((-F.col("_sim")).alias("s"), "_ord", "_key")).alias("_best"),
-    )
-    return library.join(
-        best.select(row_key, "max_sim", F.col("_best._key").alias("nearest")), row_key
-    )
+    sc = library.sparkSession.sparkContext
+    found = library
+    walked = 0
+    for chunk in _chunks(references, ref_key, ref_order, bits, n_bits, chunk_bytes):
+        sent, start = sc.broadcast(chunk), walked == 0
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent, start=start) -> Iterator[pa.RecordBatch]:
+            ref, keys = sent.value
+            for batch in batches:
+                columns = list(batch.columns) if start else batch.columns[:-2]
+                best = None if start else batch.column("max_sim").to_numpy(zero_copy_only=False)
+                sims, picks = best_match(pack_bits(batch.column(bits), n_bits), ref, best)
+                names = keys[np.maximum(picks, 0)]
+                if not start:
+                    old = np.array(batch.column("nearest").to_pylist(), dtype=object)
+                    names = np.where(picks >= 0, names, old)
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(sims), pa.array(names, pa.string())], names=schema.names
+                )
+
+        found = found.mapInArrow(scan, schema)
+        walked += 1
+        if walked % CHUNKS_AT_ONCE == 0:
+            found = settle(found)
+    if not walked:
+        return library.withColumn("max_sim", F.lit(0.0)).withColumn("nearest", F.lit(None).cast("string"))
+    return found
 
 
 def dissimilar(found: DataFrame, limit: float) -> DataFrame:
@@ -193,8 +167,12 @@ def dissimilar(found: DataFrame, limit: float) -> DataFrame:
 
 
 def similarity_pairs(top: DataFrame, key: str, bits: str = "on_bits", k: int = 20) -> DataFrame:
-    """All pairs of a short, already ranked list of at most ``k`` rows."""
-    rows = top.limit(k).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(bits).alias("b"))).alias("l"))
+    """All pairs of a short, already ranked list; more than ``k`` rows are refused, not cut."""
+    short = top.select(F.col(key).alias("k"), F.col(bits).alias("b"))
+    rows = short.limit(k + 1).agg(F.collect_list(F.struct("k", "b")).alias("l"))
+    rows = rows.where(
+        F.when(F.size("l") <= k, True).otherwise(F.raise_error(F.lit(f"more than {k} rows to pair")).cast("boolean"))
+    )
     pairs = rows.withColumn("x", F.explode("l")).withColumn("y", F.explode("l"))
     return pairs.select(
         F.col("x.k").alias("a"), F.col("y.k").alias("b"), tanimoto(F.col("x.b"), F.col("y.b")).alias("sim")

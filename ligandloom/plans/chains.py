@@ -94,7 +94,7 @@ def train(rows: DataFrame, cfg: Config) -> tuple[Model, DataFrame, DataFrame]:
     model, test = learn.hold_out(df, KEY, lambda: learn.random_forest(cfg.trees, cfg.depth, cfg.seed), cfg.seed)
     if cfg.search_models:
         split = assemble.stratified_split(df, KEY, "label", cfg.test_share, cfg.seed)
-        model, _ = learn.search(split.where(~F.col("is_test")).drop("is_test"), KEY, cfg.search_budget_sec, cfg.seed)
+        model, _ = learn.search(split.where(~F.col("is_test")).drop("is_test"), KEY, cfg.search_trials, cfg.search_budget_sec, cfg.seed)
         test = learn.scores(model, test.drop("score"))
     test = settle(test)
     report = evaluate.classification_report(test, "label", "score")

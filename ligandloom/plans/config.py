@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from ligandloom.functions import fingerprints as FP
-from ligandloom.functions import values as V
 from ligandloom.operators import matching
 
 
 @dataclass(frozen=True)
 class Config:
-    target: str = "HSD17B13"
     kind: str = "circular"
     n_bits: int = FP.SIMILARITY_BITS
     radius: int = FP.RADIUS
     token_pattern: str = FP.SMILES_TOKEN
-    active_threshold: float = V.POTENT_PIC50
-    active_max_nm: float = V.ACTIVE_MAX_NM
     test_share: float = 0.2
     seed: int = 42
     trees: int = 300
@@ -26,6 +22,6 @@ class Config:
     add_decoys: bool = False
     decoy_multiplier: float = 1.0
     search_models: bool = False
-    search_budget_sec: float = 60.0
+    search_trials: int | None = None
+    search_budget_sec: float | None = None
     max_similarity: float = matching.MAX_SIMILARITY
-    library_paths: dict[str, str] = field(default_factory=dict)

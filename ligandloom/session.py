@@ -61,3 +61,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``stored`` gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    folder = shared_folder(spark).rstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        name = path.rsplit("/", 1)[1]
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.endswith(f"{folder.rsplit('/', 1)[1]}/{name}"):
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

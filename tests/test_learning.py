@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ligandloom.catalog.views import PROPERTIES, VEC_BITS, vec
-from ligandloom.operators import assemble, checks, evaluate, features, learn, matching
+from ligandloom.operators import assemble, checks, evaluate, features, learn, matching, ranks
 from ligandloom.plans import chains
 from ligandloom.plans.config import Config
 
@@ -93,7 +93,50 @@ def test_verdict_fails_on_one_bad_check(spark):
 
 def test_search_reports_the_best(rows):
     model, table = learn.search(rows, "vec_id", budget_sec=0.0)
-    assert table.count() == 1 and learn.scores(model, rows).count() == rows.count()
+    assert table.where("roc_auc IS NOT NULL").count() == 1 and table.count() == 7
+    assert learn.scores(model, rows).count() == rows.count()
+    assert learn.search(rows, "vec_id", trials=1)[1].count() == 1
+
+
+def test_a_saved_model_fills_holes(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(i, int(i % 4 == 0), float(i % 4), None if i % 3 else float(i % 9)) for i in range(80)],
+        "vec_id int, label int, a double, b double",
+    )
+    model = learn.fit_filling(df, ["a", "b"], learn.boosted_trees(2, 2))
+    learn.save_model(model, str(tmp_path / "m"), "descriptor", 16, 20, 60)
+    again, about = learn.load_model(str(tmp_path / "m"), "descriptor", 16)
+    assert about["n_active"] == 20
+    new = spark.createDataFrame([(1, 0.0, None), (2, None, 5.0)], "vec_id int, a double, b double")
+    got = learn.scores(again.copy(), new)
+    assert got.where("score > 0.5").count() == 1 and got.count() == 2
+    with pytest.raises(ValueError, match="16 bits"):
+        learn.load_model(str(tmp_path / "m"), "descriptor", 32)
+
+
+def test_effect_size_counts_holes_as_the_median(spark):
+    rows = [(1, 1.0), (1, None), (0, 4.0), (0, 5.0), (0, 5.0)]
+    got = features.effect_size(spark.createDataFrame(rows, "y int, x double"), ["x"], "y").first()
+    assert round(got["std_effect"], 2) == -1.15
+
+
+def test_labels_agree_tells_minus_nine_from_missing(spark):
+    a = spark.createDataFrame([(1, -9), (2, None)], "id int, l int")
+    b = spark.createDataFrame([(1, None), (2, None)], "id int, l int")
+    assert tuple(checks.labels_agree({"a": a, "b": b}, "id", "l").first()) == (2, 1)
+
+
+def test_a_null_key_may_be_hot(spark):
+    rows = [(None, float(i)) for i in range(50)] + [("k", float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = ranks.group_with_percentiles(df, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.5)}, limit=10)
+    assert {tuple(r) for r in got.collect()} == {(None, 50, 24.5), ("k", 5, 2.0)}
+
+
+def test_other_labels_are_refused(spark):
+    df = spark.createDataFrame([(0,), (1,), (2,)], "label int")
+    with pytest.raises(ValueError, match="other than"):
+        learn.require_classes(df, "label")
 
 
 SMI = ["C" * (i % 9 + 1) + "O" * (i % 4) + "N" * (i % 3) + ("c1ccccc1" if i % 2 else "=S") for i in range(160)]
@@ -169,7 +212,7 @@ def test_screening_runs_on_a_stream(spark, sf, tmp_path):
     path = str(tmp_path / "in")
     v.where("active = 0").write.parquet(path)
     stream = spark.readStream.schema("vec_id long, on_bits array<int>, active int").parquet(path)
-    near = nearest(stream, v.where("active = 1"), "vec_id", "vec_id", "vec_id", n_bits=VEC_BITS)
+    near = nearest(stream, v.where("active = 1"), "vec_id", "vec_id", n_bits=VEC_BITS)
     q = near.writeStream.format("memory").queryName("near").start()
     q.processAllAvailable()
     q.stop()

@@ -72,9 +72,29 @@ def test_no_pairs(spark):
     assert M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival").count() == 0
 
 
+def count_rounds(monkeypatch):
+    made = []
+    keep = M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: made.append(name) or keep(df, name))
+    return lambda: made.count("rows")
+
+
+def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch):
+    """Different actives in one narrow region, each wanted most by one pool row and next by its neighbour."""
+    rounds = count_rounds(monkeypatch)
+    act = [(1000 + i, float(i), 0.0, 0.0) for i in range(200)]
+    pool = [(i, i + 0.4, 0.0, 0.0) for i in range(200)]
+    p, a = frames(spark, pool, act)
+    p = p.withColumn("arrival", F.md5(F.col("id").cast("string")))
+    arrival = {r["id"]: r["arrival"] for r in p.collect()}
+    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival")
+    assert {r["pool"]: r["active"] for r in won.collect()} == loop(pool, act, arrival)
+    assert rounds() <= 40
+
+
 def test_equal_rows_settle_in_few_rounds(spark, monkeypatch):
     """Hundreds of equal actives and pool rows: about one round per choice does, not one per row."""
-    monkeypatch.setattr(M, "ROUNDS", 25)
+    rounds = count_rounds(monkeypatch)
     rng = random.Random(9)
     act = [(1000 + i, 0.0, 0.0, 0.0) for i in range(300)] + [(2000 + i, rng.uniform(5, 25), 0.3, 0.0) for i in range(20)]
     pool = [(i, 1.0 if i % 3 else 2.5, 0.1, 0.0) for i in range(700)]
@@ -83,6 +103,7 @@ def test_equal_rows_settle_in_few_rounds(spark, monkeypatch):
     arrival = {r["id"]: r["arrival"] for r in p.collect()}
     won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival")
     assert {r["pool"]: r["active"] for r in won.collect()} == loop(pool, act, arrival)
+    assert rounds() <= 25
 
 
 def brute(lib, ref):
@@ -95,7 +116,7 @@ def brute(lib, ref):
     return out
 
 
-@pytest.mark.parametrize("ways", [{}, {"broadcast_bytes": 0, "block_rows": 7}, {"broadcast_bytes": 0, "block_rows": 1000}])
+@pytest.mark.parametrize("ways", [{}, {"chunk_bytes": 100}, {"chunk_bytes": 400}])
 def test_nearest_equals_brute_force(spark, ways):
     rng = random.Random(5)
     bits = lambda: sorted(rng.sample(range(130), rng.randint(0, 12)))
@@ -104,7 +125,7 @@ def test_nearest_equals_brute_force(spark, ways):
     ref = [(f"r{i:02d}", copies if i in (4, 9) else bits()) for i in range(31)]
     left = spark.createDataFrame(lib, "k string, on_bits array<int>")
     right = spark.createDataFrame([(k, b, i) for i, (k, b) in enumerate(ref)], "k string, on_bits array<int>, o int")
-    out = S.nearest(left, right, "k", "k", "o", n_bits=130, **ways)
+    out = S.nearest(left, right, "k", "o", n_bits=130, **ways)
     assert "CartesianProduct" not in plan(out) and "NestedLoop" not in plan(out)
     assert {r["k"]: (r["max_sim"], r["nearest"]) for r in out.collect()} == brute(lib, ref)
 
@@ -115,10 +136,25 @@ def test_matrix(spark):
     assert [tuple(r) for r in wide] == [("a", 1.0, 0.5, 0.0), ("b", 0.5, 1.0, 0.0), ("c", 0.0, 0.0, 1.0)]
 
 
+def test_more_rows_than_the_matrix_takes_are_refused(spark):
+    df = spark.createDataFrame([(str(i), [i]) for i in range(4)], "k string, on_bits array<int>")
+    assert S.similarity_pairs(df, "k", k=4).count() == 16
+    with pytest.raises(Exception, match="more than 3 rows"):
+        S.similarity_pairs(df, "k", k=3).collect()
+
+
+@pytest.mark.parametrize("ways", [{}, {"chunk_bytes": 1}])
+def test_nearest_with_missing_and_repeated_keys(spark, ways):
+    lib = spark.createDataFrame([("a", [1]), ("a", [9]), (None, [2]), ("b", None)], "k string, on_bits array<int>")
+    ref = spark.createDataFrame([(None, [1], 1), ("x", [2], 2), ("x", [1], 3)], "k string, on_bits array<int>, o int")
+    got = sorted(map(tuple, S.nearest(lib, ref, "k", "o", n_bits=64, **ways).select("k", "max_sim", "nearest").collect()), key=str)
+    assert got == sorted([("a", 1.0, None), ("a", 0.0, None), (None, 1.0, "x"), ("b", 0.0, None)], key=str)
+
+
 def test_nearest_without_references(spark):
     lib = spark.createDataFrame([("a", [1])], "k string, on_bits array<int>")
     none = spark.createDataFrame([], "k string, on_bits array<int>, o int")
-    row = S.nearest(lib, none, "k", "k", "o").first()
+    row = S.nearest(lib, none, "k", "o").first()
     assert (row["max_sim"], row["nearest"]) == (0.0, None)
 
 
@@ -144,4 +180,7 @@ def test_missing_property_is_outside(spark):
 def test_empty_actives(spark):
     p, a = frames(spark, [(1, 0.0, 0.0, 0.0)], [(2, 0.0, 0.0, 0.0)])
     assert M.prune_to_envelope(p, a.where("id < 0"), COLS, TOL).count() == 0
-    assert M.window_bounds(M.property_window(a.where("id < 0"), ["p1"]), ["p1"]) == {"p1": M.FALLBACK_SIZE}
+    window = M.property_window(a.where("id < 0"), ["p1"])
+    assert M.window_bounds(window, ["p1"], {"p1": (1.0, 2.0)}) == {"p1": (1.0, 2.0)}
+    with pytest.raises(ValueError, match="no values"):
+        M.window_bounds(window, ["p1"])

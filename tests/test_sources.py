@@ -71,9 +71,19 @@ def test_library_last_name_wins_across_blocks(spark, tmp_path):
     assert got == {f"T:n{i}": f"S{19950 + i}" for i in range(50)}
 
 
-def test_build_library_falls_back_to_demo(spark, tmp_path):
-    lib = readers.build_library(spark, {"A": str(tmp_path / "none.csv"), "B": None})
-    assert lib.count() == 7 and lib.columns == ["name", "smiles", "source"]
+def test_build_library_without_files(spark, tmp_path):
+    paths = {"A": str(tmp_path / "none.csv"), "B": None}
+    with pytest.raises(FileNotFoundError, match="none.csv"):
+        readers.build_library(spark, paths)
+    own = spark.createDataFrame([("n", "C", "own")], "name string, smiles string, source string")
+    assert readers.build_library(spark, paths, own).collect() == own.collect()
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    put(tmp_path, "d/a.csv", "x,y\n1,2\n")
+    put(tmp_path, "d/b.csv", "x;y\n1;2\n")
+    with pytest.raises(ValueError, match="separator"):
+        readers.sniff_delimiter(spark, str(tmp_path / "d"))
 
 
 def test_token_files(spark, tmp_path):
