@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ligandloom.catalog.registry import query
 from ligandloom.catalog.views import docs_raw, lib, table, vec
+from ligandloom.functions import values as V
 from ligandloom.operators import assemble
+from ligandloom.plans import chains
 from ligandloom.session import scratch_path
 from ligandloom.sources import readers, writers
 
@@ -63,6 +65,27 @@ def s4(spark, sf):
     return readers.load_library(spark, path, "PART")
 
 
+@query("s3b_activity_file", "", """
+WITH a AS (SELECT concat('P', p_partkey) AS k, CASE WHEN p_size % 3 = 0 THEN p_retailprice / 300 END AS reported,
+ CASE WHEN p_size % 5 <> 0 THEN p_retailprice * 10 END AS nm FROM part WHERE p_size % 2 = 0)
+SELECT k AS canonical_smiles, round_even(coalesce(reported, -log10(nm * 1e-9)) * 1e6, 0) / 1e6 AS potency,
+ (coalesce(reported, -log10(nm * 1e-9)) >= 6)::INT AS active FROM a WHERE coalesce(reported, nm) IS NOT NULL""")
+def s3b(spark, sf):
+    """Separator and headers are found; other targets, other units and repeated rows go."""
+    size, price = F.col("p_size"), F.col("p_retailprice")
+    part = table(spark, sf, "part").select(
+        F.concat(F.lit("P"), "p_partkey").alias("Smiles"),
+        F.when(size % 3 == 0, price / 300).alias("pChEMBL Value"),
+        (price * 10).alias("Standard Value"),
+        F.when(size % 5 != 0, "nM").otherwise("ug.mL-1").alias("Standard Units"),
+        F.when(size % 2 == 0, " T1 ").otherwise("T2").alias("Target ChEMBL ID"),
+    )
+    path = scratch_path(spark, "activities") + ".csv"
+    writers.write_csv(part.unionByName(part.where("`Standard Units` = 'nM'")), path, ";")
+    rows = chains.read_activity_file(spark, path, "T1", 6.0)
+    return rows.select(chains.KEY, V.half_even(F.col("potency"), 6).alias("potency"), "active")
+
+
 @query("s5_build_library", "lib", """
 SELECT concat('A:', ord) AS name, smiles, 'A' AS source FROM lib UNION ALL SELECT concat('B:', ord), smiles, 'B' FROM lib WHERE source = 'Brand#2'""")
 def s5(spark, sf):

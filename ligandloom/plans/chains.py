@@ -6,17 +6,18 @@ depends on a number.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Model
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import Model, PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ligandloom.functions import fingerprints as FP
 from ligandloom.functions import values as V
-from ligandloom.operators import assemble, curation, dedup, evaluate, learn, matching, ranking, ranks
+from ligandloom.operators import assemble, checks, curation, dedup, evaluate, learn, matching, ranking, ranks
 from ligandloom.operators import similarity as S
 from ligandloom.plans.config import Config
 from ligandloom.session import settle
+from ligandloom.sources import readers
 
 KEY = "canonical_smiles"
 
@@ -42,6 +43,65 @@ def label_compounds(distinct: DataFrame, active_max: float = V.ACTIVE_MAX_NM) ->
     return dedup.label_per_key(distinct.withColumn("label", label), KEY, "label")
 
 
+# fixed values: what the headers of an activity download contain, foremost first
+ACTIVITY_HEADERS = {
+    "structure": ("smiles",), "potency": ("pchembl",), "value": ("standard value", "standard_value"),
+    "unit": ("standard units", "standard_units"), "target": ("target chembl",),
+}
+
+
+def read_activity_file(
+    spark: SparkSession, path: str, target: str | None = None, threshold: float = V.POTENT_PIC50, sep: str | None = None
+) -> DataFrame:
+    """(key, potency, active) of a downloaded activity table, whatever its separator and exact headers.
+
+    Rows of other targets go where the file names the target; the first row
+    with a potency counts for its structure.
+    """
+    rows = readers.read_delimited(spark, path, sep, order="ord")
+    header = [c for c in rows.columns if c != "ord"]
+    named = {role: readers.find_column(header, *parts) for role, parts in ACTIVITY_HEADERS.items()}
+    if named["structure"] is None:
+        raise ValueError(f"no structure column in header {header}")
+    picked = rows.select("ord", *[F.col(f"`{c}`").alias(role) for role, c in named.items() if c])
+    if target and named["target"]:
+        picked = curation.select_target(picked, "target", target)
+    have = {role: role if named[role] else None for role in named}
+    found = curation.potency_rows(
+        picked, "structure", "ord", have["potency"], have["value"], have["unit"], threshold
+    )
+    return found.withColumnRenamed("structure", KEY)
+
+
+def train_descriptors(
+    rows: DataFrame, columns: Sequence[str], cfg: Config, vector: str = ""
+) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """(model, out-of-fold metrics, importance) of a model over numeric columns, and over bits too with ``vector``.
+
+    The metrics come from folds that fill from their own training rows; the
+    model carries the medians of all rows.
+    """
+    make = lambda: learn.boosted_trees(cfg.trees, cfg.depth, cfg.seed)
+    scored = settle(learn.out_of_fold(rows, KEY, make, learn.fold_median_fill(columns, vector), seed=cfg.seed))
+    model = learn.fit_filling(rows, columns, make(), vector)
+    numeric = learn.fit_filling(rows, columns, make()) if vector else model
+    return model, evaluate.metrics_table(scored, "label", "score"), learn.importance(numeric, rows, columns)
+
+
+def audit_labels(
+    tables: Mapping[str, DataFrame], source: DataFrame, key: str, label: str, value: str, relation: str,
+    stored_bits: str, again: Column,
+) -> DataFrame:
+    """One row per check of a labelled set: features recomputed, labels by rule, labels across tables, pairs in the source."""
+    first = next(iter(tables.values()))
+    return checks.verdict(
+        checks.stored_equals_recomputed(first, stored_bits, again),
+        checks.labels_follow_rule(first, label, value, relation),
+        checks.labels_agree(tables, key, label),
+        checks.pairs_present(first, source, key, value),
+    )
+
+
 def with_fingerprint(df: DataFrame, key: str, cfg: Config, out: str = "on_bits") -> DataFrame:
     """Set bits of the key; rows without a key have none and are dropped."""
     toks = FP.tokens(F.col(key), cfg.token_pattern)

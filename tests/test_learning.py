@@ -221,3 +221,20 @@ def test_screening_runs_on_a_stream(spark, sf, tmp_path):
 
 def test_matching_constants():
     assert matching.TOLERANCE == (25.0, 1.0, 1.0, 2.0, 2.0, 0.0) and matching.MAX_SIMILARITY == 0.35
+
+
+def test_descriptor_chain_and_audit(spark, rows):
+    df = rows.withColumn("canonical_smiles", F.col("vec_id").cast("string")).withColumn(
+        "label", (F.col("p1") > 0).cast("int")
+    )
+    cfg = Config(trees=3, depth=2)
+    model, metrics, gains = chains.train_descriptors(df.drop("features"), NUM, cfg)
+    assert gains.first()["feature"] == "p1" and metrics.first()["roc_auc"] > 0.99
+    assert learn.scores(model, df.drop("features")).where("score > 0.5").count() == df.where("label = 1").count()
+    _, combined, _ = chains.train_descriptors(df.withColumnRenamed("features", "fp"), NUM, cfg, "fp")
+    assert combined.count() == 1
+    made = spark.createDataFrame([("a", 50.0, "=", 1, 7), ("b", 90000.0, "=", 0, 8)], "k string, v double, r string, y int, b int")
+    good = chains.audit_labels({"x": made, "y": made}, made, "k", "y", "v", "r", "b", F.col("b"))
+    assert all(r["passed"] for r in good.collect())
+    bad = chains.audit_labels({"x": made, "y": made.withColumn("y", F.lit(1))}, made, "k", "y", "v", "r", "b", F.lit(7))
+    assert {r["check"] for r in bad.collect() if not r["passed"]} == {"features", "tables", "all"}
