@@ -79,12 +79,33 @@ _PAIRS = "SELECT p.vec_id AS pool, a.vec_id AS active FROM vec p JOIN vec a ON p
 @query("j6_tolerance_pairs", "vec", _PAIRS)
 def j6(spark, sf):
     pool, actives = _sides(spark, sf)
-    fit = matching.prune_to_envelope(pool.where("charge = 0"), actives, PROPERTIES, TOL)
-    left = fit.select(F.col("vec_id").alias("pool"), *PROPERTIES)
-    right = actives.select(F.col("vec_id").alias("active"), *PROPERTIES)
+    left, right = _pair_sides(pool, actives)
     return matching.tolerance_pairs(left, right, PROPERTIES, TOL).select("pool", "active")
 
 
+def _pair_sides(pool, actives):
+    fit = matching.prune_to_envelope(pool.where("charge = 0"), actives, PROPERTIES, TOL)
+    return fit.select(F.col("vec_id").alias("pool"), *PROPERTIES), actives.select(F.col("vec_id").alias("active"), *PROPERTIES)
+
+
+_ONE = ", ".join(f"CASE WHEN vec_id % 3 = 0 THEN (SELECT min_by({p}, vec_id) FROM vec WHERE active = 1) ELSE {p} END AS {p}" for p in PROPERTIES[:5])
+
+
+@query("j6_row_pairs", "vec", f"WITH c AS (SELECT vec_id, active, {_ONE}, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE charge END AS charge FROM vec WHERE active = 0 UNION ALL SELECT vec_id, active, {', '.join(PROPERTIES)} FROM vec WHERE active = 1)"
+ + _PAIRS.replace("FROM vec p JOIN vec a", " FROM c p JOIN c a"))
+def j6_crowded(spark, sf):
+    """A third of the pool shares the properties of one active."""
+    pool, actives = _sides(spark, sf)
+    one = actives.agg(*[F.min_by(p, "vec_id").alias(p) for p in PROPERTIES[:5]]).first()
+    third = F.col("vec_id") % 3 == 0
+    crowded = pool.withColumns(
+        {**{p: F.when(third, F.lit(one[p])).otherwise(F.col(p)) for p in PROPERTIES[:5]},
+         "charge": F.when(third, 0).otherwise(F.col("charge"))}
+    )
+    left, right = _pair_sides(crowded, actives)
+    return matching.row_pairs(left, right, PROPERTIES, TOL).select("pool", "active")
+
+
 _DIST = " + ".join(f"abs(a.{c} - p.{c}) / {t or 1}::DOUBLE" for c, t in zip(PROPERTIES, TOL))
 
 
