@@ -63,3 +63,28 @@ SELECT greatest(0, count(*) FILTER (y = 1) - count(*) FILTER (y = 0)) AS n_need
 def t4(spark, sf):
     need = assemble.n_needed(*assemble.class_sizes(lab(spark, sf), "y"))
     return spark.range(1).select(F.lit(need).cast("bigint").alias("n_need"))
+
+
+_SETS = {"both": "y IN (0, 1)", "one": "y = 1", "none": "y > 1", "other": "y IN (0, 1)"}
+
+
+def _guard(case: str, where: str) -> str:
+    y = "y + 1" if case == "other" else "y"
+    return f"""SELECT '{case}' AS labels, count(*) FILTER ({y} = 1) AS a, count(*) FILTER ({y} = 0) AS i,
+ count(*) FILTER ({y} NOT IN (0, 1)) AS o FROM lab WHERE {where}"""
+
+
+@query("v6_class_guards", "lab", """
+SELECT labels, CASE WHEN o > 0 THEN 'labels other than 0 and 1' WHEN a + i = 0 THEN 'no labelled rows'
+ WHEN a = 0 OR i = 0 THEN concat('one class only: ', a, ' active, ', i, ' inactive') ELSE concat(a, ' and ', i) END AS outcome
+FROM (""" + " UNION ALL ".join(_guard(k, w) for k, w in _SETS.items()) + ")")
+def v6(spark, sf):
+    """What training would say to four label columns before it starts."""
+    rows = []
+    for case, where in _SETS.items():
+        df = lab(spark, sf).where(where).select((F.col("y") + 1 if case == "other" else F.col("y")).alias("y"))
+        try:
+            rows.append((case, "{} and {}".format(*assemble.require_classes(df, "y"))))
+        except ValueError as e:
+            rows.append((case, str(e)))
+    return spark.createDataFrame(rows, "labels string, outcome string")
