@@ -224,7 +224,7 @@ def clean_column(index: Index, text: str | Column) -> Column:
     @F.arrow_udf("boolean")
     def run(texts: pa.Array) -> pa.Array:
         out: list[bool] = []
-        for group in grouped(((t,) for t in texts.to_pylist()), 0):
+        for group in grouped(((t.as_py(),) for t in texts), 0):
             bad = {d for d, *_ in find_leaks(index, [x[0] or b"" for x in group])}
             out += [k not in bad for k in range(len(group))]
         return pa.array(out, pa.bool_())

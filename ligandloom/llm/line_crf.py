@@ -244,7 +244,7 @@ def score_column(model: Model, text: str | Column) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
-        for group in grouped(((t.as_py() or b"",) for t in texts), 0, 2 << 20):
+        for group in grouped(((t.as_py() or b"",) for t in texts), 0, 1 << 20):
             out.append(score_texts(model, [t for (t,) in group]))
         return pa.array(np.concatenate(out), pa.float64())
 

@@ -29,7 +29,7 @@ from ligandloom.llm.tokens import grouped, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words times positions that are searched at once, and words that a worker remembers.
-CELLS, MEMO = 1 << 15, 300_000
+CELLS, MEMO = 1 << 15, 150_000
 #: Characters of the texts whose words are collected together.
 GROUP = 1 << 20
 _BASE = np.uint64(0x100000001B3)
@@ -227,31 +227,55 @@ def decode_column(model: Pieces, ids: str | Column) -> Column:
     return run(F.col(ids) if isinstance(ids, str) else ids)
 
 
-def encode_documents(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL
-) -> DataFrame:
+def _coded(docs: DataFrame, text: str, key: str, path: str) -> DataFrame:
+    """doc_id, text (decoded again), piece_ids, and whether the text came back; one worker does both ways."""
+    model = load(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model)
+        for batch in batches:
+            at = 0
+            for group in grouped(((t.as_py() or "",) for t in batch.column(1)), 0, GROUP):
+                texts = [t for (t,) in group]
+                lists = encoder.encode(texts)
+                stops = np.cumsum([len(x) // 4 for x in lists])
+                ids = np.frombuffer(b"".join(lists), "<i4")
+                back = decode(model, ids, stops)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(texts)), pa.array(back, pa.string()),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.array(ids)),
+                        pa.array([x == y for x, y in zip(back, texts)], pa.bool_()),
+                    ],
+                    ["doc_id", "text", "piece_ids", "same"],
+                )
+                at += len(texts)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        run, f"doc_id {kind}, text string, piece_ids array<int>, same boolean"
+    )
+
+
+def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL) -> DataFrame:
     """doc_id, text (decoded again from the pieces), n_pieces and piece_ids of every row.
 
     Null texts are empty texts; repeated rows stay repeated.
     """
-    model = load(path)
-    return docs.select(F.col(key).alias("doc_id"), encode_column(model, text).alias("piece_ids")).select(
-        "doc_id", decode_column(model, "piece_ids").alias("text"),
-        F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids",
-    )
+    return _coded(docs, text, key, path).select(
+        "doc_id", "text", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids"
+    )
 
 
 def encoding_digest(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, pieces_hash (of the ids), text_crc32 (of the decoded text) and round_trip."""
     model = load(path)
     low, high = int(model.byte_ids.min()), int(model.byte_ids.max())
-    coded = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), encode_column(model, text).alias("ids"))
-    back = coded.select("doc_id", "text", "ids", decode_column(model, "ids").alias("back"))
-    return back.select(
+    return _coded(docs, text, key, path).select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_pieces"),
-        F.size(F.filter("ids", lambda i: i.between(low, high))).cast("bigint").alias("n_byte_pieces"),
-        F.xxhash64("ids").alias("pieces_hash"),
-        F.crc32(F.col("back").cast("binary")).alias("text_crc32"),
-        (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.size("piece_ids").cast("bigint").alias("n_pieces"),
+        F.size(F.filter("piece_ids", lambda i: i.between(low, high))).cast("bigint").alias("n_byte_pieces"),
+        F.xxhash64("piece_ids").alias("pieces_hash"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.col("same").alias("round_trip"),
     )

@@ -116,8 +116,8 @@ def digest_column(ranks: dict[bytes, int], text: str | Column, ratio: float = RA
         scanner = Scanner(ranks, ratio)
         for texts in batches:
             rows = []
-            for t in texts.to_pylist():
-                spans = scanner.spans(t)
+            for t in texts:
+                spans = scanner.spans(t.as_py())
                 base = [x for x in spans if x[1] < 3]
                 count = [sum(x[1] == k for x in base) for k in range(3)]
                 rows.append((*count, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
@@ -144,7 +144,7 @@ def mask_column(ranks: dict[bytes, int], text: str | Column, ratio: float = RATI
         scanner = Scanner(ranks, ratio)
         for texts in batches:
             out = []
-            for t in texts.to_pylist():
+            for t in (x.as_py() for x in texts):
                 spans = scanner.spans(t.encode("utf-8", "replace")) if t else []
                 out.append(masked(t, spans) if spans else t)
             yield pa.array(out, pa.string())

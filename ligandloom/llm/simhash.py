@@ -64,7 +64,7 @@ def fingerprint_column(text: str | Column, width: int = WIDTH) -> Column:
 
     @F.arrow_udf("bigint")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t, width) for t in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint(t.as_py(), width) for t in texts], pa.int64())
 
     return run(raw(text))
 

@@ -17,7 +17,7 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[SPACE] = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are handled together until they hold so many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

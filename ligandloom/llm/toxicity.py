@@ -42,7 +42,7 @@ WINDOW = 8
 QUOTED, ADDRESSED = 0.25, 1.25
 THRESHOLD = 0.3
 #: Words a worker remembers, and states it keeps of the automaton, before it starts afresh.
-MEMO, STATES = 400_000, 200_000
+MEMO, STATES = 150_000, 50_000
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‹›‘’‚…¡¿–—"
 QUOTES = tuple(q.encode() for q in "\"“”„«»‹›‘’‚") + (b"'",)
@@ -314,7 +314,7 @@ def score_column(model: Model, text: str | Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _Memo(LexiconAutomaton(model.terms))
         for texts in batches:
-            x = np.array([evidence(model, finds(memo, t or b"")) for t in texts.to_pylist()])
+            x = np.array([evidence(model, finds(memo, t.as_py() or b"")) for t in texts])
             yield pa.array(probability(model, x), pa.float64())
 
     return run(raw(text))
