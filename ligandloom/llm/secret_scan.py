@@ -1,9 +1,11 @@
 """Secrets in whole texts: fixed patterns, and strings that a tokenizer cannot shorten.
 
 Ordinary words of any language come out of a byte-pair vocabulary at two or more
-characters a token; random strings do not. A run of 20 or more key characters with fewer than
-1.7 characters a token is taken for a secret, unless it is a digest of a known length,
-a UUID or another identifier, or touches a span of the fixed patterns.
+characters a token; random strings do not. A run of 20 or more key characters with too few
+characters a token is taken for a secret, unless it is a digest of a known length,
+a UUID or another identifier. What of a run lies outside the spans of the fixed patterns is judged by itself.
+If the whole is none, its segments between ``= / _ -`` are, and chains of segments that are no words.
+The limit is 1.7 characters a token, and 2.0 for segments of letters of one case, which fewer tokens spell.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from ligandloom.llm.common import raw
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RATIO, LEAST = 1.7, 20
+ONE_CASE = 2.0
 MASK = "[SECRET]"
 KINDS = ("assign", "access", "hex", "random")
 
@@ -36,6 +39,10 @@ KNOWN = re.compile(
     rb"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     rb"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 )
+SEGMENT = re.compile(rb"[A-Za-z0-9+]+")
+LETTERS = re.compile(rb"[a-z]+|[A-Z]+")
+#: A word with a short number at most.
+WORD = re.compile(rb"[A-Za-z]{3,}[0-9]{0,4}")
 #: Numbers, dates and rules; names and paths made of words with a short number at most.
 NAME = re.compile(rb"[0-9_+/=-]+|(?:[A-Za-z]{3,}[0-9]{0,4}[_/=+-]+)+[A-Za-z]{3,}[0-9]{0,4}")
 
@@ -57,9 +64,42 @@ class Scanner:
         """Is this run shortened too little? Long runs are encoded in parts of 256 characters."""
         if KNOWN.fullmatch(run) or NAME.fullmatch(run):
             return False
+        return len(run) < self.ratio * self.tokens(run)
+
+    def tokens(self, run: bytes) -> int:
         text = run.decode()
-        tokens = sum(len(self.encoding.encode_ordinary(text[k : k + 256])) for k in range(0, len(text), 256))
-        return len(text) < self.ratio * tokens
+        return sum(len(self.encoding.encode_ordinary(text[k : k + 256])) for k in range(0, len(text), 256))
+
+    def word(self, segment: bytes) -> bool:
+        return bool(WORD.fullmatch(segment)) and len(segment) >= ONE_CASE * self.tokens(segment)
+
+    def secrets(self, run: bytes) -> list[tuple[int, int]]:
+        """Places of the random parts: the whole, or chains of segments that are no words, or single segments."""
+        if len(run) < LEAST or KNOWN.fullmatch(run):
+            return []
+        if self.random(run):
+            return [(0, len(run))]
+        out, chain = [], []
+        for m in [*SEGMENT.finditer(run), None]:
+            if m and not self.word(m[0]):
+                chain.append(m)
+                continue
+            if chain and chain[-1].end() - chain[0].start() >= LEAST:
+                part = (chain[0].start(), chain[-1].end())
+                if self.random(run[slice(*part)]):
+                    out.append(part)
+                elif not KNOWN.fullmatch(run[slice(*part)]):
+                    out += [x.span() for x in chain if self.lone(x[0])]
+            chain = []
+        return out
+
+    def lone(self, segment: bytes) -> bool:
+        """Is this segment random, by the limit of its alphabet?"""
+        if len(segment) < LEAST or KNOWN.fullmatch(segment):
+            return False
+        if LETTERS.fullmatch(segment):
+            return len(segment) <= ONE_CASE * self.tokens(segment)
+        return self.random(segment)
 
     def spans(self, text: bytes | None) -> list[tuple[int, int, int]]:
         """(start, kind, end) by start, in code points, end exclusive."""
@@ -74,8 +114,10 @@ class Scanner:
         if any(len(w) >= LEAST and self.holds_random(w) for w in text.split()):
             base = sorted(out)
             for m in RUN.finditer(text):
-                if self.random(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
-                    out.append((m.start(), 3, m.end()))
+                at = m.start()
+                for s, _, e in [*(x for x in base if x[0] < m.end() and m.start() < x[2]), (m.end(), 0, m.end())]:
+                    out += [(at + a, 3, at + b) for a, b in self.secrets(text[at : max(at, s)])]
+                    at = max(at, e)
         if not out:
             return []
         out.sort()
@@ -88,7 +130,7 @@ class Scanner:
         return [(place[s], k, place[e]) for s, k, e in out]
 
     def holds_random(self, word: bytes) -> bool:
-        return any(self.random(m[0]) for m in RUN.finditer(word))
+        return any(self.secrets(m[0]) for m in RUN.finditer(word))
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
