@@ -204,7 +204,7 @@ SELECT id, concat('a|', t[i], '|', t[i + d], '|', d) AS g
 FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(1, 7) x(d) WHERE i + d <= len(t)"""))
 def p30d(spark, sf):
     d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
-    return _bits_out(d.withColumn("on_bits", FP.pair_bits(F.col("toks"), DOC_BITS, 6)))
+    return _bits_out(d.withColumn("on_bits", FP.pair_bits(F.col("toks"), DOC_BITS)))
 
 
 def _count_sql(pattern: str) -> str:
@@ -249,7 +249,7 @@ def _known(spark, sf):
 
 
 def _doc_bits(col):
-    return FP.circular_bits(FP.tokens(col, FP.WORD_TOKEN), DOC_BITS, 1)
+    return FP.circular_bits(FP.tokens(col, FP.WORD_TOKEN), DOC_BITS)
 
 
 @query("a27_overlap_funnel", "docs docs_raw", f"""{_FUNNEL}
