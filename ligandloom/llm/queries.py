@@ -7,7 +7,10 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ligandloom.llm import adaptive_rules, decontaminate, html_text, line_crf, pieces, secret_scan, sharding, simhash, suffix_lm, toxicity
+from ligandloom.llm import (
+    adaptive_rules, decontaminate, html_text, line_crf, phrases, pieces, runs, secret_scan, sharding, simhash, suffix_lm,
+    token_counts, toxicity,
+)
 from ligandloom.llm.common import read
 
 
@@ -75,3 +78,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_line_crf")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register("op11_phrases", phrases.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+@register("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"))
+
+
+@register("op13_word_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.find_runs(runs.with_planted_periods(read(spark, sf_dir, "documents"))))
