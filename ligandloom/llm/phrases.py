@@ -36,9 +36,9 @@ WORDS, LEAST, TOP = 4, 30, 2000
 INSIDE = 80
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
-#: Bytes of text for each hash partition; runs and phrases that a task holds before it sends.
+#: Bytes of text for each hash partition; runs and phrases that a task holds before it sends, and keys of a row it sends.
 PART = 32 << 20
-RUNS_HELD, PHRASES_HELD, KEYS_HELD = 4_000_000, 400_000, 2_000_000
+RUNS_HELD, PHRASES_HELD, KEYS_HELD, ROW_KEYS = 2_000_000, 200_000, 1_000_000, 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -133,14 +133,21 @@ def summaries(docs: DataFrame, parts: int, longest: int = WORDS) -> DataFrame:
     """
 
     def sent(held: list[np.ndarray]) -> Iterator[tuple]:
-        h, n = np.unique(np.concatenate(held), return_counts=True)
+        h = np.concatenate(held)
+        held.clear()
+        h.sort()
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        count = np.diff(np.r_[first, len(h)]).astype("<u4")
+        h = h[first]
         bucket = bucket_of(h, parts)
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
-            low, count = (h[a:b] & _LOW).astype("<u4"), n[a:b]
-            once = count == 1
-            yield int(bucket[a]), 0, int(count.sum()), None, None
-            yield int(bucket[a]), 1, 0, np.r_[low[once], low[~once]].tobytes(), count[~once].astype("<u4").tobytes()
+            yield int(bucket[a]), 0, int(count[a:b].sum(dtype=np.int64)), None, None
+            for k in range(a, b, ROW_KEYS):
+                part = slice(k, min(b, k + ROW_KEYS))
+                low, n = (h[part] & _LOW).astype("<u4"), count[part]
+                once = n == 1
+                yield int(bucket[a]), 1, 0, np.r_[low[once], low[~once]].tobytes(), n[~once].tobytes()
 
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         held, fresh = [], 0
@@ -150,11 +157,11 @@ def summaries(docs: DataFrame, parts: int, longest: int = WORDS) -> DataFrame:
             fresh += sum(map(len, runs.hashes))
             if fresh >= RUNS_HELD:
                 yield from sent(held)
-                held, fresh = [], 0
+                fresh = 0
         if fresh:
             yield from sent(held)
 
-    return arrow_rows(docs, run, "bucket bigint, kind int, mass bigint, keys binary, counts binary", batch=64)
+    return arrow_rows(docs, run, "bucket bigint, kind int, mass bigint, keys binary, counts binary")
 
 
 def survivors(summed_up: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
