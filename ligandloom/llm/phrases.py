@@ -7,8 +7,8 @@ beyond the capacity is taken from all. The capacity is above mass / threshold, t
 the partition, so all that is ever taken is less than the threshold, and every phrase that is frequent enough has
 a count left. The masses are sorted before the summaries, so the capacity is known before the first merge.
 
-Second pass. What survived becomes a bitmap of fixed size. Runs that it lets through are counted exactly, by
-their words; the threshold then drops what only a hash, or the slack of a summary, had let in.
+Second pass. What survived becomes a bitmap of fixed size. Runs that it lets through go to the same partitions and are counted
+exactly, by their words; the threshold then drops what only a hash, or the slack of a summary, had let in.
 
 The other steps work on frequent phrases alone: each is cut into two parts, whose counts are joined to it, and it is dropped
 if a longer phrase that has it is nearly as frequent.
@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ INSIDE = 80
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: Bytes of text for each hash partition; runs and phrases that a task holds before it sends, and keys of a row it sends.
-PART = 32 << 20
+PART = 16 << 20
 RUNS_HELD, PHRASES_HELD, KEYS_HELD, ROW_KEYS = 2_000_000, 200_000, 1_000_000, 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BREAK = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
@@ -74,8 +73,8 @@ class Runs:
         clean[self.ends - 1] = 0x20
         self.clean = clean.tobytes()
 
-    def phrase(self, at: int, size: int) -> str:
-        return self.clean[self.begins[at] : self.ends[at + size - 1] - 1].decode("utf-8", "replace")
+    def phrase(self, at: int, size: int) -> bytes:
+        return self.clean[self.begins[at] : self.ends[at + size - 1] - 1]
 
 
 def bucket_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -193,14 +192,23 @@ def survivors(summed_up: DataFrame, parts: int, least: int = LEAST) -> DataFrame
     return arrow_rows(dealt, run, "bit bigint", batch=65_536)
 
 
-def exact_counts(docs: DataFrame, sieve: np.ndarray, parts: int, longest: int = WORDS) -> DataFrame:
-    """(lang, phrase, words, f) of all runs that the bitmap lets through, and of each language its words as the empty phrase."""
+def exact_counts(docs: DataFrame, sieve: np.ndarray, parts: int, least: int = LEAST, longest: int = WORDS) -> DataFrame:
+    """(lang, phrase, words, f) of the runs that occur ``least`` times, and of each language its words as the empty phrase.
 
-    def sent(held: dict[int, list], total: dict[str, int]) -> Iterator[tuple]:
-        yield from map(tuple, held.values())
-        yield from ((lang, "", 0, n) for lang, n in total.items())
+    Tasks send what the bitmap lets through to the hash partitions, many phrases in a row, and these add it up by the words.
+    """
 
-    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def sent(held: dict[int, list], total: dict[str, int]) -> Iterator[tuple]:
+        by_place: dict[tuple[int, str], list] = {}
+        for key, (lang, phrase, n) in held.items():
+            by_place.setdefault(((key >> 32) * parts >> 32, lang), []).append((phrase, n))
+        for (bucket, lang), rows in by_place.items():
+            for k in range(0, len(rows), ROW_KEYS):
+                phrase, n = zip(*rows[k : k + ROW_KEYS])
+                yield bucket, lang, b"\n".join(phrase), np.array(n, "<u8").tobytes()
+        yield from ((0, lang, b"", np.array([n], "<u8").tobytes()) for lang, n in total.items())
+
+    def count(rows: Iterable[tuple]) -> Iterator[tuple]:
         held: dict[int, list] = {}
         total: dict[str, int] = {}
         for group in grouped(rows, 0):
@@ -212,19 +220,38 @@ def exact_counts(docs: DataFrame, sieve: np.ndarray, parts: int, longest: int =
                 through = has(sieve, bit_of(bucket_of(h, parts), h & _LOW))
                 h, at = h[through], at[through]
                 h, first, n = np.unique(h, return_index=True, return_counts=True)
-                for key, k, count in zip(h.tolist(), at[first].tolist(), n.tolist()):
+                for key, k, more in zip(h.tolist(), at[first].tolist(), n.tolist()):
                     row = held.get(key)
                     if row is None:
-                        held[key] = [langs[runs.doc[k]], runs.phrase(k, size), size, count]
+                        held[key] = [langs[runs.doc[k]], runs.phrase(k, size), more]
                     else:
-                        row[3] += count
+                        row[2] += more
             if len(held) >= PHRASES_HELD:
                 yield from sent(held, total)
                 held, total = {}, {}
         yield from sent(held, total)
 
-    counted = arrow_rows(docs, run, "lang string, phrase string, words int, n bigint")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+    def add(rows: Iterable[tuple]) -> Iterator[tuple]:
+        now, sums = None, {}
+
+        def found() -> Iterator[tuple]:
+            for lang, counts in sums.items():
+                for phrase, n in counts.items():
+                    if n >= least or not phrase:
+                        yield lang, phrase.decode("utf-8", "replace"), phrase.count(b" ") + bool(phrase), n
+
+        for bucket, lang, phrases, counts in rows:
+            if bucket != now:
+                yield from found()
+                now, sums = bucket, {}
+            mine = sums.setdefault(lang, {})
+            for phrase, n in zip(phrases.split(b"\n"), np.frombuffer(counts, "<u8").tolist()):
+                mine[phrase] = mine.get(phrase, 0) + n
+        yield from found()
+
+    dealt = arrow_rows(docs, count, "bucket bigint, lang string, phrases binary, counts binary", batch=256)
+    dealt = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return arrow_rows(dealt, add, "lang string, phrase string, words int, f bigint")
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = WORDS) -> DataFrame:
@@ -241,7 +268,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     kept = stored(survivors(summaries(picked, parts, longest), parts, least), "survivors")
     sieve = sieve_of(kept, "bit")
     discard(kept)
-    return exact_counts(picked, sieve, parts, longest).where((F.col("words") == 0) | (F.col("f") >= least))
+    return exact_counts(picked, sieve, parts, least, longest)
 
 
 def _between(phrase: Column, first: Column, size: Column) -> Column:
