@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ligandloom.catalog.registry import query, r
-from ligandloom.catalog.views import DOC_BITS, docs, docs_raw, lab, lines, table
+from ligandloom.catalog.views import DOC_BITS, DOC_RADIUS, docs, docs_raw, lab, lines, table
 from ligandloom.functions import descriptors as D
 from ligandloom.functions import fingerprints as FP
 from ligandloom.functions import values as V
@@ -201,7 +201,7 @@ def p30c(spark, sf):
 
 @query("p30d_pair_bits", "doctok", _bits_sql("""
 SELECT id, concat('a|', t[i], '|', t[i + d], '|', d) AS g
-FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(1, 7) x(d) WHERE i + d <= len(t)"""))
+FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM doctok) CROSS JOIN range(1, %d) x(d) WHERE i + d <= len(t)""" % (FP.PAIR_DISTANCE + 1)))
 def p30d(spark, sf):
     d = docs(spark, sf).withColumn("toks", FP.tokens(F.col("key"), FP.WORD_TOKEN))
     return _bits_out(d.withColumn("on_bits", FP.pair_bits(F.col("toks"), DOC_BITS)))
@@ -273,7 +273,7 @@ s AS (SELECT ord, raw.key, coarse FROM t JOIN raw ON raw.id = t.ord WHERE stage
 sg AS (SELECT ord, regexp_extract_all(key, '[\\p{{L}}\\p{{N}}]+') AS t FROM s),
 sb AS (SELECT DISTINCT ord, {_HASH} % {DOC_BITS} AS b FROM (SELECT ord, concat(r, '|',
  array_to_string(list_slice(t, greatest(i - r, 1), least(i + r, len(t))), ' ')) AS g
- FROM (SELECT ord, t, unnest(range(1, len(t) + 1)) AS i FROM sg) CROSS JOIN range(0, 2) x(r))),
+ FROM (SELECT ord, t, unnest(range(1, len(t) + 1)) AS i FROM sg) CROSS JOIN range(0, {DOC_RADIUS + 1}) x(r))),
 ab AS (SELECT dbits.id, b FROM dbits JOIN ka ON ka.id = dbits.id),
 sn AS (SELECT ord, count(*) AS n FROM sb GROUP BY ord), an AS (SELECT id, count(*) AS n FROM ab GROUP BY id),
 o AS (SELECT sb.ord, ab.id, count(*) AS c FROM sb JOIN ab USING (b) GROUP BY ALL),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ligandloom.functions import values as V
+from ligandloom.functions import fingerprints as FP, values as V
 from ligandloom.session import spread
 
 PROPERTIES = ("p1", "p2", "p3", "p4", "p5", "charge")
 DOC_BITS = 1024
 VEC_BITS = 64
-DOC_RADIUS = 1
+DOC_RADIUS = FP.RADIUS
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

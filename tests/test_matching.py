@@ -54,13 +54,20 @@ def loop(pool, act, arrival, n_need=None):
     return out
 
 
-@pytest.mark.parametrize("seed, n_pool, n_act, hot, need", [(1, 60, 25, 0.34, None), (2, 30, 60, 0.0, 9), (3, 150, 30, 0.8, None), (4, 40, 40, 0.1, 3)])
-def test_exclusive_assignment_equals_the_loop(spark, seed, n_pool, n_act, hot, need):
+ALL = M.PART_PAIRS
+
+
+@pytest.mark.parametrize("seed, n_pool, n_act, hot, need, part_pairs", [
+    (1, 60, 25, 0.34, None, ALL), (2, 30, 60, 0.0, 9, ALL), (3, 150, 30, 0.8, None, ALL), (4, 40, 40, 0.1, 3, ALL),
+    (1, 60, 25, 0.34, None, 15), (2, 30, 60, 0.0, 9, 0),
+])
+def test_exclusive_assignment_equals_the_loop(spark, seed, n_pool, n_act, hot, need, part_pairs):
+    """All parts walked, small ones walked and large ones in rounds, and all in rounds."""
     pool, act = make(seed, n_pool, n_act, hot)
     p, a = frames(spark, pool, act)
     p = p.withColumn("arrival", F.md5(F.col("id").cast("string")))
     arrival = {r["id"]: r["arrival"] for r in p.collect()}
-    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival", need)
+    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival", need, part_pairs)
     got = {r["pool"]: r["active"] for r in won.collect()}
     assert got == loop(pool, act, arrival, need)
     assert len(set(got.values())) == len(got)
@@ -87,7 +94,7 @@ def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch):
     p, a = frames(spark, pool, act)
     p = p.withColumn("arrival", F.md5(F.col("id").cast("string")))
     arrival = {r["id"]: r["arrival"] for r in p.collect()}
-    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival")
+    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival", part_pairs=0)
     assert {r["pool"]: r["active"] for r in won.collect()} == loop(pool, act, arrival)
     assert rounds() <= 40
 
@@ -101,7 +108,7 @@ def test_equal_rows_settle_in_few_rounds(spark, monkeypatch):
     p, a = frames(spark, pool, act)
     p = p.withColumn("arrival", F.md5(F.col("id").cast("string")))
     arrival = {r["id"]: r["arrival"] for r in p.collect()}
-    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival")
+    won = M.exclusive_assignment(p, a, "id", "id", "id", COLS, TOL, "arrival", part_pairs=0)
     assert {r["pool"]: r["active"] for r in won.collect()} == loop(pool, act, arrival)
     assert rounds() <= 25
 
