@@ -181,10 +181,17 @@ def j8_blocks(spark, sf):
 @query("j9_dissimilar", "vnear", f"SELECT vec_id, {r('max_sim', 3)} AS max_sim FROM vnear WHERE max_sim <= {SIM}")
 def j9(spark, sf):
     pool, actives = _sides(spark, sf)
-    found = S.nearest(pool.select("vec_id", "on_bits"), actives, "vec_id", "vec_id", n_bits=VEC_BITS)
+    found = S.nearest(pool.select("vec_id", "on_bits"), actives, "vec_id", "vec_id", n_bits=VEC_BITS, limit=SIM)
     return S.dissimilar(found, SIM).select("vec_id", V.half_even(F.col("max_sim"), 3).alias("max_sim"))
 
 
+@query("j9_far_rows", "vnear", f"SELECT vec_id FROM vnear WHERE max_sim <= {SIM}")
+def j9_far(spark, sf):
+    """The same rows through shared rare bits, without a copy of either side in every task."""
+    pool, actives = _sides(spark, sf)
+    return S.far_rows(pool.select("vec_id", "on_bits"), actives, SIM, n_bits=VEC_BITS).select("vec_id")
+
+
 @query("j10_similarity_pairs", "vec vbits", """
 WITH top AS (SELECT vec_id FROM vec ORDER BY p1 DESC, vec_id LIMIT 20), n AS (SELECT vec_id, count(*) AS n FROM vbits GROUP BY vec_id),
 o AS (SELECT x.vec_id AS a, y.vec_id AS b, count(*) AS c FROM vbits x JOIN vbits y USING (b)

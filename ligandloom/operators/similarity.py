@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ligandloom.functions.fingerprints import tanimoto
@@ -51,12 +51,12 @@ def _ceiling(lo: int, hi: int, low: int, high: int) -> float:
 
 
 def best_match(
-    lib: np.ndarray, ref: np.ndarray, best: np.ndarray | None = None
+    lib: np.ndarray, ref: np.ndarray, best: np.ndarray | None = None, limit: float = np.inf
 ) -> tuple[np.ndarray, np.ndarray]:
     """Highest Tanimoto of each library row and the first reference that has it.
 
     With ``best``, the similarities so far, only higher ones count; the pick
-    of a row that has none is -1.
+    of a row that has none is -1. A row found above ``limit`` is not searched further.
     """
     sims = np.full(len(lib), -1.0) if best is None else best.copy()
     picks = np.full(len(lib), -1, dtype=np.int64)
@@ -72,7 +72,7 @@ def best_match(
         reach = [_ceiling(lo, hi, *span) for span in spans]
         for k in sorted(range(len(bands)), key=lambda k: -reach[k]):
             # an equal similarity may still have an earlier reference
-            open_rows = rows[sims[rows] <= reach[k]]
+            open_rows = rows[sims[rows] <= min(reach[k], limit)]
             if not len(open_rows):
                 continue
             part, band = lib[open_rows], bands[k]
@@ -119,11 +119,13 @@ def nearest(
     bits: str = "on_bits",
     n_bits: int = 1024,
     chunk_bytes: int = CHUNK_BYTES,
+    limit: float = math.inf,
 ) -> DataFrame:
     """Add ``max_sim`` and ``nearest`` (ties: lowest ``ref_order``) to each library row.
 
     Without references the similarity is 0. Repeated and missing keys on
-    either side are rows like any other.
+    either side are rows like any other. Where only rows up to a ``limit`` are wanted, the search for a row ends with the
+    first band of references that holds one above it; rows above the limit then have a similarity above it, not the highest.
     """
     schema = T.StructType(
         [
@@ -143,7 +145,7 @@ def nearest(
             for batch in batches:
                 columns = list(batch.columns) if start else batch.columns[:-2]
                 best = None if start else batch.column("max_sim").to_numpy(zero_copy_only=False)
-                sims, picks = best_match(pack_bits(batch.column(bits), n_bits), ref, best)
+                sims, picks = best_match(pack_bits(batch.column(bits), n_bits), ref, best, limit)
                 names = keys[np.maximum(picks, 0)]
                 if not start:
                     old = np.array(batch.column("nearest").to_pylist(), dtype=object)
@@ -161,6 +163,68 @@ def nearest(
     return found
 
 
+def _rare_first(sets: DataFrame, n_bits: int) -> Column:
+    """Place of each bit in ascending frequency: an array of ``n_bits`` numbers."""
+    counted = dict(sets.select(F.explode("_set").alias("b")).groupBy("b").count().collect())  # at most n_bits rows
+    order = sorted(range(n_bits), key=lambda b: (counted.get(b, 0), b))
+    place = [0] * n_bits
+    for k, b in enumerate(order):
+        place[b] = k
+    return F.lit(place)
+
+
+def _sets(df: DataFrame, bits: str) -> DataFrame:
+    """Distinct bit sets; a missing one is empty."""
+    return df.select(F.coalesce(F.col(bits).cast("array<int>"), F.array().cast("array<int>")).alias("_set")).distinct()
+
+
+def _prefixes(sets: DataFrame, place: Column, limit: float) -> DataFrame:
+    """Each set once for each bit of its prefix: its rarest bits, so many that a set closer than the limit shares one.
+
+    The empty set, which is like itself, has a bit of its own.
+    """
+    n = F.size("_set")
+    least = F.ceil(n * F.lit(limit) - 1e-9)  # a closer set shares at least so many bits
+    by_place = F.array_sort(F.transform("_set", lambda b: F.struct(F.get(place, b).alias("p"), b.alias("b"))))
+    rare = F.slice(F.transform(by_place, lambda x: x["b"]), F.lit(1), F.greatest(n - least + 1, F.lit(1)).cast("int"))
+    return sets.withColumn("_bit", F.explode(F.when(n == 0, F.array(F.lit(-1))).otherwise(rare)))
+
+
+def close_sets(library: DataFrame, references: DataFrame, limit: float, bits: str = "on_bits", n_bits: int = 1024) -> DataFrame:
+    """Distinct bit sets (``_set``) of the library that have a reference closer than ``limit``, for two large sides.
+
+    Nothing is sent to all tasks but the order of the bits. Sets closer than the limit share one of their rarest bits
+    and have sizes within a factor of it, so both sides meet on (bit, band of sizes), the references in the bands next to
+    theirs as well. The overlap of such candidates is then counted exactly. Equal sets are one row on either side.
+    """
+    if not 0 <= limit < 1:
+        raise ValueError("the limit has to be from 0 up to, but not including, 1")
+    lib, ref = _sets(library, bits), _sets(references, bits)
+    place = _rare_first(lib, n_bits)
+    lib, ref = _prefixes(lib, place, limit), _prefixes(ref, place, limit).withColumnRenamed("_set", "_ref")
+    if limit > 0:
+        width = -math.log(limit) * 1.0001  # bands a little wider than the factor absorb rounding
+
+        def band(column: str) -> Column:
+            return F.floor(F.log(F.greatest(F.size(column), F.lit(1))) / F.lit(width))
+
+        lib = lib.withColumn("_band", band("_set"))
+        ref = ref.withColumn("_band", F.explode(F.array(*[band("_ref") + k for k in (-1, 0, 1)])))
+        near = lib.join(ref, ["_bit", "_band"])
+    else:
+        near = lib.join(ref, "_bit")
+    small, large = F.least(F.size("_set"), F.size("_ref")), F.greatest(F.size("_set"), F.size("_ref"))
+    near = near.where((large == 0) | (small > F.lit(limit) * large))
+    return near.where(tanimoto(F.col("_set"), F.col("_ref")) > limit).select("_set").distinct()
+
+
+def far_rows(library: DataFrame, references: DataFrame, limit: float, bits: str = "on_bits", n_bits: int = 1024) -> DataFrame:
+    """Library rows without a reference closer than ``limit``: those that ``dissimilar(nearest(...), limit)`` keeps."""
+    close = close_sets(library, references, limit, bits, n_bits)
+    own = F.coalesce(F.col(bits).cast("array<int>"), F.array().cast("array<int>"))
+    return library.withColumn("_set", own).join(close, "_set", "left_anti").drop("_set")
+
+
 def dissimilar(found: DataFrame, limit: float) -> DataFrame:
     """Rows of ``nearest`` whose closest reference is not closer than ``limit``."""
     return found.where(F.col("max_sim") <= limit)
