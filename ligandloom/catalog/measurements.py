@@ -227,8 +227,8 @@ SELECT key, min_by(id, ord) AS id, quantile_cont(v, 0.5) AS value_median, min(v)
 FROM meas GROUP BY key"""
 
 
-def _median(spark, sf, hot_rows=ranks.HOT_ROWS):
-    return dedup.median_per_key(meas(spark, sf, heavy=True), "key", "v", "ord", first=("id",), hot_rows=hot_rows)
+def _median(spark, sf, slices=ranks.SLICES):
+    return dedup.median_per_key(meas(spark, sf, heavy=True), "key", "v", "ord", first=("id",), slices=slices)
 
 
 @query("a3_median_per_key", "meas", _MEDIAN)
@@ -238,8 +238,8 @@ def a3(spark, sf):
 
 @query("a3_median_per_key_split_hot", "meas", _MEDIAN)
 def a3_hot(spark, sf):
-    """Same result with every key of more than four rows treated as hot."""
-    return _median(spark, sf, 4)
+    """Same result with one slice for each doubling of the values."""
+    return _median(spark, sf, 1)
 
 
 @query("a4_median_per_pair", "meas", """
@@ -261,8 +261,8 @@ SELECT key, id, {r("pow(10::DOUBLE, 9 - med)", 3)} AS value_median, {r("med", 3)
  confidence NOT IN ('CONFLICT (>100x)', 'qualified_only') AS recommend_keep, sources FROM c"""
 
 
-def _robust(spark, sf, hot_rows=ranks.HOT_ROWS):
-    return dedup.robust_dedup(meas(spark, sf, heavy=True), "key", "v", "ord", hot_rows=hot_rows)
+def _robust(spark, sf, slices=ranks.SLICES):
+    return dedup.robust_dedup(meas(spark, sf, heavy=True), "key", "v", "ord", slices=slices)
 
 
 @query("a5_robust_dedup", "meas", _ROBUST)
@@ -273,7 +273,7 @@ def a5(spark, sf):
 @query("a5_robust_dedup_split_hot", "meas", _ROBUST)
 def a5_hot(spark, sf):
     """Same result with every key of more than four rows treated as hot."""
-    return _robust(spark, sf, 4)
+    return _robust(spark, sf, 1)
 
 
 @query("a6_label_per_key", "meas", f"""

@@ -9,7 +9,7 @@ from ligandloom.catalog.registry import query
 from ligandloom.catalog.views import WIDE, WIDE_NUMERIC, meas, vec, wide
 from ligandloom.functions import values as V
 from ligandloom.operators import assemble, checks, dedup, features
-from ligandloom.operators.ranks import HOT_ROWS
+from ligandloom.operators.ranks import SLICES
 from ligandloom.session import scratch_path
 from ligandloom.sources import readers, writers
 
@@ -72,20 +72,20 @@ _MED = """WITH t AS (SELECT * FROM wide WHERE potency = 1), m AS (SELECT quantil
 SELECT ord, coalesce(gap, g) AS gap, coalesce(CASE WHEN NOT isinf(ratio) THEN ratio END, r) AS ratio FROM wide, m"""
 
 
-def _imputed(spark, sf, hot_rows):
+def _imputed(spark, sf, slices):
     w = features.clean_nonfinite(wide(spark, sf), WIDE_NUMERIC)
-    filled = features.impute_medians(w, ["gap", "ratio"], w.where("potency = 1"), hot_rows)
+    filled = features.impute_medians(w, ["gap", "ratio"], w.where("potency = 1"), slices)
     return filled.select("ord", "gap", "ratio")
 
 
 @query("a25_impute_median", "wide", _MED)
 def a25(spark, sf):
-    return _imputed(spark, sf, HOT_ROWS)
+    return _imputed(spark, sf, SLICES)
 
 
 @query("a25_impute_median_split_hot", "wide", _MED)
 def a25_hot(spark, sf):
-    return _imputed(spark, sf, 1000)
+    return _imputed(spark, sf, 1)
 
 
 # ---- checks ----

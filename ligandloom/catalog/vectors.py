@@ -41,20 +41,20 @@ _BOUNDS = "SELECT " + ", ".join(
 _INSIDE = " AND ".join(f"vec.{p} BETWEEN {p}_lo AND {p}_hi" for p in PROPERTIES)
 
 
-def _window(spark, sf, hot_rows):
-    w = matching.property_window(_sides(spark, sf)[1], PROPERTIES, hot_rows=hot_rows)
+def _window(spark, sf, slices):
+    w = matching.property_window(_sides(spark, sf)[1], PROPERTIES, slices=slices)
     return w.select("feature", "n", *[V.half_even(F.col(c), 9).alias(c) for c in ("lo", "hi")])
 
 
 @query("a11_property_window", "vec", _WINDOW)
 def a11(spark, sf):
-    return _window(spark, sf, ranks.HOT_ROWS)
+    return _window(spark, sf, ranks.SLICES)
 
 
 @query("a11_property_window_split_hot", "vec", _WINDOW)
 def a11_hot(spark, sf):
-    """Same result through range-partitioned running counts."""
-    return _window(spark, sf, 10)
+    """Same result with one slice for each doubling of the values."""
+    return _window(spark, sf, 1)
 
 
 @query("a12_property_envelope", "vec", "SELECT " + ", ".join(

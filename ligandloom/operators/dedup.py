@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ligandloom.functions import values as V
-from ligandloom.operators.ranks import HOT_ROWS, group_with_percentiles
+from ligandloom.operators.ranks import SLICES, group_with_percentiles
 
 # ---- fixed values (confidence grades in report order, limits in log10 units) ----
 CONFLICT = "CONFLICT (>100x)"
@@ -75,7 +75,7 @@ def median_per_key(
     relation: str = "relation",
     first: Sequence[str] = (),
     source: str = "source",
-    hot_rows: int = HOT_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Median, spread and sources per key."""
     aggs = [
@@ -87,16 +87,16 @@ def median_per_key(
         join_sources(source).alias("sources"),
     ]
     return group_with_percentiles(
-        measured(df, key, value), [key], aggs, {"value_median": (value, 0.5)}, hot_rows
+        measured(df, key, value), [key], aggs, {"value_median": (value, 0.5)}, slices
     )
 
 
 def median_per_pair(
-    df: DataFrame, keys: Sequence[str], value: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES
 ) -> DataFrame:
     """Median value per (id, structure)."""
     return group_with_percentiles(
-        df, keys, [F.count(F.lit(1)).alias("n")], {"value_median": (value, 0.5)}, hot_rows
+        df, keys, [F.count(F.lit(1)).alias("n")], {"value_median": (value, 0.5)}, slices
     )
 
 
@@ -120,7 +120,7 @@ def robust_dedup(
     relation: str = "relation",
     first: Sequence[str] = ("id",),
     source: str = "source",
-    hot_rows: int = HOT_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Grade each key by how far its exact measurements spread."""
     exact = ~V.is_qualified(F.col(relation))
@@ -134,7 +134,7 @@ def robust_dedup(
         (F.max("_p") - F.min("_p")).alias("_range"),
         join_sources(source).alias("sources"),
     ]
-    grouped = group_with_percentiles(rows, [key], aggs, {"_median": ("_p", 0.5)}, hot_rows)
+    grouped = group_with_percentiles(rows, [key], aggs, {"_median": ("_p", 0.5)}, slices)
     grade = confidence(F.col("n_exact"), F.col("_range"))
     return grouped.select(
         key,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ligandloom.functions import values as V
-from ligandloom.operators.ranks import HOT_ROWS, column_percentiles
+from ligandloom.operators.ranks import SLICES, column_percentiles
 
 
 def clean_nonfinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,10 +61,10 @@ def impute_medians(
     df: DataFrame,
     columns: Sequence[str],
     train: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Fill missing cells with the medians of the training rows, one number per feature."""
-    medians = column_percentiles(df if train is None else train, columns, {"m": 0.5}, hot_rows)
+    medians = column_percentiles(df if train is None else train, columns, {"m": 0.5}, slices)
     fill = {r["feature"]: r["m"] for r in medians.collect()}
     return df.withColumns({c: F.coalesce(c, F.lit(fill.get(c))) for c in columns})
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ligandloom.session import settle
 
-HOT_ROWS = 1_000_000  # a key with more rows than this is treated apart
+SLICES = 4096  # of the values between a number and its double, for percentiles
 HEX_DIGITS = 4  # 16**4 slices of a hash order
 
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -131,66 +131,71 @@ def running_totals(
     )
 
 
-def split_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+def value_slice(value: Column, slices: int) -> Column:
+    """A whole number that never falls as the value grows: ``slices`` steps for each doubling; NaN comes last."""
+    top = 1100 * slices  # above the logarithm of any double
+    size = F.abs(value.cast("double"))
+    step = F.when(F.isnan(size), 2 * top).otherwise(F.least(F.floor(F.log2(size) * slices), F.lit(top)))
+    return F.when(value == 0, 0).when(value < 0, -(step + top)).otherwise(step + top).cast("long")
+
+
+def percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], slices: int = SLICES
 ) -> DataFrame:
-    """Exact interpolated percentiles of groups too large for one task."""
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    ranked = running_totals(distinct, [value], {"_cum": "_c"}, keys)
-    sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = _join_null_safe(ranked, sizes, list(keys), "inner")
+    """(keys, *probs) exact interpolated percentiles per key, from frequencies; keys without a value have no row.
+
+    Equal values of a key are counted on the map side first. Counts per slice of the values then
+    tell in which slice a percentile lies, and only the values of such slices are put in order. So no task
+    holds all values of a key, however many there are.
+    """
+    keys = list(keys)
+    counted = (
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_slice", value_slice(F.col(value), slices))
+    )
+    whole = Window.partitionBy(*keys)
+    sums = counted.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_n"))
+    sums = sums.withColumns({"_end": F.sum("_n").over(whole.orderBy("_slice").rowsBetween(*_UPTO)), "_all": F.sum("_n").over(whole)})
+    wanted = F.lit(False)
+    for p in probs.values():
+        at = (F.col("_all") - 1) * F.lit(float(p))
+        for rank in (F.floor(at), F.ceil(at)):
+            wanted = wanted | ((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")))
+    sums = sums.where(wanted).select(*keys, "_slice", (F.col("_end") - F.col("_n")).alias("_start"), "_all")
+    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(*_UPTO)
+    near = _join_null_safe(counted, sums, [*keys, "_slice"], "inner").withColumn("_cum", F.col("_start") + F.sum("_c").over(inside))
     aggs = []
     for out, p in probs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(p))
+        pos = (F.col("_all") - 1) * F.lit(float(p))
         for end, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             aggs.append(F.min(F.when(F.col("_cum") > rank, F.col(value))).alias(f"_{end}_{out}"))
         aggs.append(F.first(pos).alias(f"_p_{out}"))
-    found = placed.groupBy(*keys).agg(*aggs)
+    found = near.groupBy(*keys).agg(*aggs)
     cols = []
     for out in probs:
         lo, hi, pos = (F.col(f"_{x}_{out}") for x in ("lo", "hi", "p"))
         mixed = (F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi
-        cols.append(F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(mixed).alias(out))
+        cols.append(F.when(F.floor(pos) == F.ceil(pos), lo).otherwise(mixed).cast("double").alias(out))
     return found.select(*keys, *cols)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows: at most rows/limit of them."""
-    return df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
-
-
 def group_with_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     aggs: Sequence[Column],
-    percentiles: Mapping[str, tuple[str, float]],
-    limit: int = HOT_ROWS,
+    percentiles_of: Mapping[str, tuple[str, float]],
+    slices: int = SLICES,
 ) -> DataFrame:
     """``groupBy(keys).agg(...)`` with exact percentiles ``{out: (column, p)}``.
 
-    All other aggregates combine on the map side. An exact percentile keeps
-    every distinct value of its group, so keys above ``limit`` rows take
-    theirs from range-partitioned running counts instead.
+    All other aggregates combine on the map side and are joined with the percentiles.
     """
     keys = list(keys)
-    plain = [F.percentile(F.col(c), F.lit(p)).alias(o) for o, (c, p) in percentiles.items()]
-    hot = hot_keys(df, keys, limit)
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*aggs, *plain)
-    hot = settle(hot).select(*[F.col(k).alias(f"_h_{i}") for i, k in enumerate(keys)])
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{i}")) for i, k in enumerate(keys)]
-    cold = df.join(hot, same, "left_anti").groupBy(*keys).agg(*aggs, *plain)
-    heavy = df.join(hot, same, "left_semi")
-    counted = F.count(F.lit(1)).alias("_rows")
-    split = heavy.groupBy(*keys).agg(counted, *aggs)
-    for column in dict.fromkeys(c for c, _ in percentiles.values()):
-        probs = {o: p for o, (c, p) in percentiles.items() if c == column}
-        split = _join_null_safe(split, split_percentiles(heavy, keys, column, probs), keys, "left")
-    return cold.unionByName(split.drop("_rows"))
+    out = df.groupBy(*keys).agg(*aggs, F.lit(1).alias("_one"))
+    for column in dict.fromkeys(c for c, _ in percentiles_of.values()):
+        probs = {o: p for o, (c, p) in percentiles_of.items() if c == column}
+        out = _join_null_safe(out, percentiles(df, keys, column, probs, slices), keys, "left")
+    return out.drop("_one")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -204,7 +209,7 @@ def column_percentiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Mapping[str, float],
-    limit: int = HOT_ROWS,
+    slices: int = SLICES,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (by, feature) with exact percentiles of each column."""
@@ -212,7 +217,7 @@ def column_percentiles(
     long = long.where(F.col("value").isNotNull())
     return group_with_percentiles(
         long, [*by, "feature"], [F.count(F.lit(1)).alias("n")],
-        {o: ("value", p) for o, p in probs.items()}, limit,
+        {o: ("value", p) for o, p in probs.items()}, slices,
     )
 
 

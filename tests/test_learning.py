@@ -129,7 +129,7 @@ def test_labels_agree_tells_minus_nine_from_missing(spark):
 def test_a_null_key_may_be_hot(spark):
     rows = [(None, float(i)) for i in range(50)] + [("k", float(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = ranks.group_with_percentiles(df, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.5)}, limit=10)
+    got = ranks.group_with_percentiles(df, ["k"], [F.count(F.lit(1)).alias("n")], {"m": ("v", 0.5)}, slices=2)
     assert {tuple(r) for r in got.collect()} == {(None, 50, 24.5), ("k", 5, 2.0)}
 
 

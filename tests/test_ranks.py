@@ -38,14 +38,14 @@ def test_running_totals_have_no_single_task_window(spark):
         assert got == want
 
 
-@pytest.mark.parametrize("limit", [0, 50, 10**9])
-def test_percentiles_with_a_hot_key(spark, limit):
-    """A third of the rows share one key; all ways give the same exact values."""
+@pytest.mark.parametrize("slices", [1, 50, ranks.SLICES])
+def test_percentiles_with_a_hot_key(spark, slices):
+    """A third of the rows share one key; any slices give the same exact values."""
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.34 else f"k{rng.randint(0, 40)}", round(rng.gauss(0, 3), 1)) for _ in range(900)]
     df = spark.createDataFrame(rows, "k string, v double")
     out = ranks.group_with_percentiles(
-        df, ["k"], [F.count(F.lit(1)).alias("n")], {"med": ("v", 0.5), "p95": ("v", 0.95)}, limit
+        df, ["k"], [F.count(F.lit(1)).alias("n")], {"med": ("v", 0.5), "p95": ("v", 0.95)}, slices
     )
     got = {r["k"]: (r["n"], r["med"], r["p95"]) for r in out.collect()}
     for k in {r[0] for r in rows}:
@@ -54,6 +54,24 @@ def test_percentiles_with_a_hot_key(spark, limit):
         assert got[k][1:] == pytest.approx(tuple(np.percentile(vals, [50, 95])))
 
 
+def test_percentiles_of_extreme_values(spark):
+    rng = random.Random(8)
+    some = [0.0, 1e-320, -1e-320, 1e308, -1e308, float("inf"), 1.0, 1.0000000001, 0.9999999, -3.5, 7.25]
+    rows = [(k % 3 or None, rng.choice([*some, None])) for k in range(300)] + [(9, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    probs = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 0.9, "e": 1.0}
+    want = df.where("v is not null").groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(o) for o, p in probs.items()])
+    got = ranks.percentiles(df, ["k"], "v", probs, 3)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_slices_never_fall(spark):
+    values = sorted({x * 10.0**e for x in (-9.99, -1.0, 0.0, 1.0, 1.5, 9.99) for e in range(-300, 300, 7)})
+    df = spark.createDataFrame([(v,) for v in [*values, float("inf"), float("nan")]], "v double")
+    found = [r.s for r in df.select(ranks.value_slice(F.col("v"), 64).alias("s"), "v").orderBy("v").collect()]
+    assert found == sorted(found)
+
+
 def test_robust_dedup_grades(spark):
     rows = [
         ("a", "i1", "s", "=", 100.0), ("a", "i2", "t", "=", 100.0),  # high
