@@ -8,6 +8,7 @@ from ligandloom.catalog import (  # noqa: F401  (registration)
     measurements,
     metrics,
     quality,
+    replies,
     training,
     vectors,
 )

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ligandloom.operators import dedup
 from ligandloom.operators.ranks import hash_rank
+from ligandloom.session import settle
 
 # ---- fixed values ----
 BATCH_ROWS = 45
@@ -95,6 +96,29 @@ def assemble_training(
     return base.unionByName(fill.select(base.columns))
 
 
+def load_available(
+    spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], columns: Sequence[str]
+) -> tuple[list[DataFrame], DataFrame]:
+    """(tables, report): every source that can be read, in order, and (place, source, loaded, n_rows, reason) of each.
+
+    A source is read once and written to the shared folder, so one that breaks in the middle is left out as a whole and
+    the others go on. The reason is the kind of the error. Fails only when no source is left.
+    """
+    tables, rows = [], []
+    for place, (name, load) in enumerate(loaders.items(), 1):
+        try:
+            df = load()
+            require_columns(df, columns)
+            table = settle(df.select(*columns))
+            rows.append((place, name, True, table.count(), None))
+            tables.append(table)
+        except Exception as e:  # whatever a source raises is its reason
+            rows.append((place, name, False, None, type(e).__name__))
+    if not tables:
+        raise ValueError("no source could be read: " + ", ".join(f"{r[1]} ({r[4]})" for r in rows))
+    return tables, spark.createDataFrame(rows, "place int, source string, loaded boolean, n_rows bigint, reason string")
+
+
 def with_provenance(
     actives: DataFrame,
     inactives: DataFrame,

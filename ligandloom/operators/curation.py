@@ -131,6 +131,18 @@ def key_counts(df: DataFrame, key: str, approximate: bool = False) -> DataFrame:
     )
 
 
+def key_sketches(df: DataFrame, key: str, by: Sequence[str], precision: int = 14) -> DataFrame:
+    """(by, n_rows, sketch): HyperLogLog sketches of the distinct keys, to be stored and merged; null keys count as rows only."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.hll_sketch_agg(F.col(key), F.lit(precision)).alias("sketch"))
+
+
+def merged_key_counts(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_rows, n_keys): about how many distinct keys stored sketches hold together, without their rows."""
+    return sketches.groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_keys")
+    )
+
+
 def select_target(df: DataFrame, column: str, target: str) -> DataFrame:
     """Rows of one target; names the most frequent others when there are none."""
     trimmed = V.strip(F.col(column))
