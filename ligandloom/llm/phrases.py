@@ -16,7 +16,7 @@ if a longer phrase that has it is nearly as frequent.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -125,8 +125,10 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def summaries(docs: DataFrame, parts: int, longest: int = WORDS) -> DataFrame:
-    """(bucket, kind, mass, keys, counts) from (body, lang): of kind 0 the occurrences of a partition, of kind 1 a summary.
+def summaries(docs: DataFrame, parts: int, hashes_of: Callable[[list[tuple]], list[np.ndarray]]) -> DataFrame:
+    """(bucket, kind, mass, keys, counts): of kind 0 the occurrences of a partition, of kind 1 a summary of them.
+
+    ``hashes_of`` gives the hashes of all runs in a group of rows, of which the first column is the text.
 
     ``keys`` are little-endian 32-bit numbers; ``counts`` has a 32-bit number for the last so many of them, the others count once.
     """
@@ -151,9 +153,9 @@ def summaries(docs: DataFrame, parts: int, longest: int = WORDS) -> DataFrame:
     def run(rows: Iterable[tuple]) -> Iterator[tuple]:
         held, fresh = [], 0
         for group in grouped(rows, 0):
-            runs = Runs([r[0] or b"" for r in group], [r[1] for r in group], longest)
-            held += runs.hashes
-            fresh += sum(map(len, runs.hashes))
+            found = hashes_of(group)
+            held += found
+            fresh += sum(map(len, found))
             if fresh >= RUNS_HELD:
                 yield from sent(held)
                 fresh = 0
@@ -265,7 +267,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     )
     size = picked.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, -(-size // PART))
-    kept = stored(survivors(summaries(picked, parts, longest), parts, least), "survivors")
+
+    def hashes_of(group: list[tuple]) -> list[np.ndarray]:
+        return Runs([r[0] or b"" for r in group], [r[1] for r in group], longest).hashes
+
+    kept = stored(survivors(summaries(picked, parts, hashes_of), parts, least), "survivors")
     sieve = sieve_of(kept, "bit")
     discard(kept)
     return exact_counts(picked, sieve, parts, least, longest)
