@@ -195,12 +195,12 @@ def leaks(
 ) -> DataFrame:
     """One row for each document and item it holds: the window that is most alike, the first of several.
 
-    Null and empty texts and items match nothing. Documents without leaks
+    Null and empty texts and items match nothing; ids may be of any type. Documents without leaks
     have no row; rows without an id are reported with a null id. A table of
     items beyond ``INDEX_BYTES`` is searched slice by slice.
     """
     schema = (
-        f"doc_id {docs.schema[key].dataType.simpleString()}, item_id bigint, first_word bigint, n_words bigint, "
+        f"doc_id {docs.schema[key].dataType.simpleString()}, item_id {items.schema[item_key].dataType.simpleString()}, first_word bigint, n_words bigint, "
         "hamming int, similarity double"
     )
     body = docs.select(F.col(key), raw(text).alias("body"))
@@ -232,8 +232,10 @@ def clean_column(index: Index, text: str | Column) -> Column:
     return run(raw(text))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
+def without_leaks(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id"
+) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay whatever their names."""
-    for part in _passes(items, "item_id", item_text):
+    for part in _passes(items, item_key, item_text):
         docs = docs.where(clean_column(build_index(part), text))
     return docs

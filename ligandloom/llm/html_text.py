@@ -9,6 +9,7 @@ element around it, is kept with those of its siblings that look like text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -91,6 +92,8 @@ class Page:
         self.tag, self.parent, self.drop = ["#root"], [-1], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._stack = [0]
+        self._block = [0]  # of each element on the stack: the nearest block
+        self._count: Counter[str] = Counter()  # open elements of each tag
         self._links = 0
         self._text: list[str] = []
         self._linked = 0
@@ -134,14 +137,15 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                node = next((x for x in reversed(self._stack) if self.tag[x] in BLOCK), 0)
-                self.blocks.append((node, text, self._linked))
+                self.blocks.append((self._block[-1], text, self._linked))
             self._text, self._linked = [], 0
 
     def _pop_to(self, depth: int) -> None:
         while len(self._stack) > depth:
-            if self.tag[self._stack.pop()] == "a":
-                self._links -= 1
+            tag = self.tag[self._stack.pop()]
+            self._block.pop()
+            self._count[tag] -= 1
+            self._links -= tag == "a"
 
     def _open(self, tag: str, rest: str) -> None:
         if tag == "br":
@@ -160,14 +164,19 @@ class Page:
         if tag == "a" and self._links:
             self._end("a", BLOCK)
         up = self._stack[-1]
+        unwanted = self.drop[up] or self._unwanted(tag, rest)
         self._stack.append(len(self.tag))
+        self._block.append(self._stack[-1] if tag in BLOCK else self._block[-1])
+        self._count[tag] += 1
         self.tag.append(tag)
         self.parent.append(up)
-        self.drop.append(self.drop[up] or self._unwanted(tag, rest, up))
+        self.drop.append(unwanted)
         self._links += tag == "a"
 
     def _end(self, tag: str, limit: frozenset | set) -> None:
         """Close the innermost ``tag`` that is open inside the innermost element of ``limit``."""
+        if not self._count[tag]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             kind = self.tag[self._stack[depth]]
             if kind == tag:
@@ -179,15 +188,15 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        if tag in ("br", "p") and not any(self.tag[x] == tag for x in self._stack):
+        if tag in ("br", "p") and not self._count[tag]:
             self._say(" ")
             return
         self._end(tag, frozenset(("table",)) if tag not in BLOCK or tag == "p" else frozenset())
 
-    def _unwanted(self, tag: str, rest: str, up: int) -> bool:
+    def _unwanted(self, tag: str, rest: str) -> bool:
         if tag in DROP:
             return True
-        inside = tag == "header" and self._within(up, "article")
+        inside = tag == "header" and self._count["article"] > 0
         if tag == "header" and not inside:
             return True
         if not rest.strip() or tag in KEEP:
@@ -199,18 +208,11 @@ class Page:
             if name == "style" and _HIDDEN.search(value) or name == "role" and value.lower() in ROLE:
                 return True
             if name in ("class", "id") and self.by_name and not inside and _marked(value):
-                if tag in HEADING and self._within(up, "article"):
+                if tag in HEADING and self._count["article"]:
                     continue
                 return True
         return False
 
-    def _within(self, node: int, tag: str) -> bool:
-        while node > 0:
-            if self.tag[node] == tag:
-                return True
-            node = self.parent[node]
-        return False
-
     def main_text(self) -> str:
         n = len(self.tag)
         size, links, points = [0] * n, [0] * n, [0.0] * n

@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from ligandloom.llm.common import arrow_rows, fold, raw
 from ligandloom.llm.tokens import SPACE, grouped, mix, tokenise
 from ligandloom.llm.toxicity import fit_curve
 
-#: The field is fitted on at most so many labelled texts of each class, chosen by a hash of their
-#: keys, that have at most so many lines.
+#: The field is fitted on at most so many labelled texts of each class, chosen by a hash of their keys. Of a
+#: text of more lines it sees so many lines in a row, from a place that a hash of the text picks.
 SAMPLE, LINES = 1500, 300
 ROUNDS, STEPS, RATE, RIDGE = 3, 80, 0.1, 1e-3
 
@@ -205,7 +206,10 @@ def fit(sample: DataFrame, sizes: dict[int, int]) -> Model:
             own, size, first = line_features([t or b"" for t, _ in group])
             for k, (_, quality) in enumerate(group):
                 a, b = int(first[k]), int(first[k + 1])
-                if 0 < b - a <= LINES:
+                if b - a > LINES:
+                    a += xxhash.xxh64_intdigest(group[k][0], 5) % (b - a - LINES + 1)
+                    b = a + LINES
+                if a < b:
                     yield quality, own[a:b].tobytes(), size[a:b].astype(np.float32).tobytes()
 
     rows = arrow_rows(sample, features, "quality int, own binary, size binary", 64).collect()
@@ -269,7 +273,9 @@ def training_sample(
     picked = docs.select(F.col(key).alias("key"), raw(text).alias("body")).join(
         F.broadcast(chosen[0].unionByName(chosen[1])), "key"
     )
-    return picked.dropDuplicates(["key"]).select("body", "quality"), sizes
+    # of rows that repeat an id the one with the least text
+    one = picked.groupBy("key").agg(F.min(F.struct(F.coalesce("body", F.lit(b"")).alias("body"), "quality")).alias("r"))
+    return one.select("r.body", "r.quality"), sizes
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -111,7 +111,8 @@ class Scanner:
         if b"AKIA" in text:
             out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        if any(len(w) >= LEAST and self.holds_random(w) for w in text.split()):
+        # parts of a word beside a base span are judged by themselves, so such texts are always searched
+        if out or any(len(w) >= LEAST and self.holds_random(w) for w in text.split()):
             base = sorted(out)
             for m in RUN.finditer(text):
                 at = m.start()
