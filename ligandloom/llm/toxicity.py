@@ -7,10 +7,11 @@ step per letter and most words die after a few. Short terms allow no edit, middl
 ones one, long ones two.
 
 Terms are a small seed list and the words that training documents labelled toxic
-hold far more often than the others. What a term's exact and misspelt finds are worth is
-their precision in the training documents. A find counts less where its
+hold far more often than the others, as a likelihood ratio test tells: of the words that pass, a part of
+LEVEL may do so by chance, so neither their number nor a share of the texts is fixed. What a term's exact and
+misspelt finds are worth is their precision in the training documents. A find counts less where its
 window of words quotes or reports, and more next to the second person. A logistic curve turns
-the sum into a probability.
+the sum, and the sum for each STRETCH of the text, as finds by chance add up in long ones, into a probability.
 """
 
 from __future__ import annotations
@@ -26,20 +27,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligandloom.llm.common import arrow_rows, fold, raw
-from ligandloom.session import stored
+from ligandloom.session import discard, stored
 
 SEED = (
     "idiot moron stupid loser pathetic worthless disgusting scum trash clown imbecile bastard bitch asshole "
     "dumbass retard vermin filthy shithead scumbag"
 ).split()
-#: A learned term is in this part of the distinct toxic texts (and in four), this many times as often as in the others.
-SHARE, LEAST, RATIO = 0.005, 4, 15.0
-#: Most terms of the learned lexicon, the most frequent ones first: a size of the model.
-TERMS = 1000
+#: A learned term is this many times as often in distinct toxic texts as in the others. The level is the part of the
+#: learned terms that may pass the test by chance.
+RATIO, LEVEL = 15.0, 0.05
+#: Letters of the shortest learned term.
+SHORTEST = 3
 #: The curve and the lexicon are fitted on at most so many labelled rows of each class, chosen by a hash of their keys.
 SAMPLE = 20_000
 WINDOW = 8
 QUOTED, ADDRESSED = 0.25, 1.25
+#: Bytes by which the density of finds is measured.
+STRETCH = 1000
 THRESHOLD = 0.3
 #: Words a worker remembers, and states it keeps of the automaton, before it starts afresh.
 MEMO, STATES = 150_000, 50_000
@@ -197,53 +201,74 @@ class Model(NamedTuple):
     fuzzy: np.ndarray  # worth of a misspelt one
     bias: float
     slope: float
+    density: float
 
 
-def evidence(model: Model, found: Iterable[tuple[int, int, float]]) -> float:
-    return math.log1p(sum((model.fuzzy[t] if e else model.exact[t]) * c for t, e, c in found))
+def evidence(model: Model, found: Iterable[tuple[int, int, float]], size: int) -> tuple[float, float]:
+    """Logarithms of what the finds of a text of ``size`` bytes are worth, and of that for each stretch; 0, 0 without finds."""
+    total = sum((model.fuzzy[t] if e else model.exact[t]) * c for t, e, c in found)
+    return math.log1p(total), math.log1p(total / (1 + size / STRETCH))
 
 
 def probability(model: Model, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(model.bias + model.slope * x, -30, 30)))
+    """Of rows of evidence."""
+    return 1 / (1 + np.exp(-np.clip(model.bias + x @ np.array([model.slope, model.density]), -30, 30)))
 
 
-def _document_words(rows: Iterable[tuple], among: frozenset[bytes] | None = None) -> Iterator[tuple[str, int]]:
-    """(word, texts of this partition that hold it), a bounded table at a time."""
-    count: Counter[str] = Counter()
-    for (text,) in rows:
-        tokens = set((text or b"").split())
-        count.update({w for w in map(bare, tokens) if len(w) >= 4 and (among is None or w in among)})
+def _document_words(rows: Iterable[tuple]) -> Iterator[tuple[str, int, int]]:
+    """(word, toxic, texts of this partition that hold it), a bounded table at a time."""
+    count: Counter[tuple[str, int]] = Counter()
+    for text, toxic in rows:
+        words = set(map(bare, set((text or b"").split())))
+        count.update((w, toxic) for w in words if len(w) >= SHORTEST)
         if len(count) >= MEMO:
-            yield from count.items()
+            yield from ((w, y, n) for (w, y), n in count.items())
             count.clear()
-    yield from count.items()
+    yield from ((w, y, n) for (w, y), n in count.items())
+
+
+def _surprise(t: Column, o: Column, n_toxic: int, n_other: int) -> Column:
+    """The likelihood ratio statistic of a word in ``t`` toxic and ``o`` other texts."""
+    both, share = t + o, n_toxic / (n_toxic + n_other)
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    return 2 * (
+        part(t, both * share) + part(o, both * (1 - share))
+        + part(n_toxic - t, n_toxic - both * share) + part(n_other - o, n_other - both * (1 - share))
+    )
 
 
 def learn_terms(train: DataFrame) -> list[str]:
-    """The lexicon: the seed and the words that mark the toxic training texts (body, toxic)."""
-    distinct = train.groupBy(F.xxhash64("body").alias("h"), "toxic").agg(F.first("body").alias("body"))
-    toxic = distinct.where("toxic = 1").select("body")
-    others = train.where("toxic = 0").select("body")
-    n_toxic, n_other = toxic.count(), others.count()
+    """The lexicon: the seed and the words that mark the toxic training texts (body, toxic).
+
+    Copies of a toxic text count once. The chance of a statistic of x or more is below exp(-x / 2);
+    the bar is the least x that so few of the words tried pass by chance.
+    """
+    distinct = train.where("toxic = 1").dropDuplicates(["body", "toxic"])
+    texts = distinct.unionByName(train.where("toxic = 0")).select("body", "toxic")
+    sizes = dict(texts.groupBy("toxic").count().collect())
+    n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
         return list(SEED)
-    least = max(LEAST, math.ceil(SHARE * n_toxic))
-    words = (
-        arrow_rows(toxic, _document_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).collect()
+    words = stored(
+        arrow_rows(texts, _document_words, "word string, toxic int, n bigint").groupBy("word")
+        .agg(F.sum(F.col("n") * F.col("toxic")).alias("t"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("o")),
+        "words",
     )
-    # a text of m words adds to m counts, so few words reach the share
-    among = frozenset(r.word for r in words)
-    held = {
-        r.word: r.n
-        for r in arrow_rows(others, lambda rows: _document_words(rows, among), "word string, n bigint")
-        .groupBy("word").agg(F.sum("n").alias("n")).collect()
-    }
-    marks = [
-        (-r.n, r.word) for r in words
-        if (r.n + 0.5) / (n_toxic + 1) >= RATIO * (held.get(r.word, 0) + 0.5) / (n_other + 1)
-    ]
-    return list(dict.fromkeys([*SEED, *(w for _, w in sorted(marks)[:TERMS])]))
+    t, o = F.col("t"), F.col("o")
+    often = (t + 0.5) / (n_toxic + 1) >= RATIO * (o + 0.5) / (n_other + 1)
+    marks = words.where(often).withColumn("x", F.floor(_surprise(t, o, n_toxic, n_other)))
+    tried, passed, bar = words.count(), 0, math.inf
+    # a statistic is below 2 * n * log(n) for n texts in the sample, which bounds these rows
+    for x, n in sorted(marks.groupBy("x").count().collect(), reverse=True):
+        passed += n
+        if tried * math.exp(-x / 2) <= LEVEL * passed:
+            bar = x
+    learned = [] if bar == math.inf else marks.where(F.col("x") >= bar).select("t", "word").collect()
+    discard(words)
+    return list(dict.fromkeys([*SEED, *(w for _, w in sorted((-r.t, r.word) for r in learned))]))
 
 
 def _worth(toxic: int, other: int, n_toxic: int, n_other: int, prior: float) -> float:
@@ -252,19 +277,29 @@ def _worth(toxic: int, other: int, n_toxic: int, n_other: int, prior: float) ->
     return max(0.0, 2 * (t + prior * s) / (t + o + s) - 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Bias and slope of a logistic curve with a small ridge, by Newton steps."""
-    w, ridge = np.zeros(2), np.array([1e-3, 1e-1])
-    design = np.c_[np.ones_like(x), x]
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (n * (p - y)) + ridge * w
-        curve = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag(ridge)
-        step = np.linalg.solve(curve, gradient)
-        w -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(w[0]), float(max(w[1], 0.0))
+def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+    """Bias and the weights of both columns of evidence in a logistic curve with a small ridge, by Newton steps.
+
+    A column that would make a text less toxic is left out.
+    """
+    design = np.c_[np.ones(len(x)), x]
+    out = np.zeros(3)
+    for columns in ([0, 1, 2], [0, 2], [0, 1]):
+        part, w = design[:, columns], np.zeros(len(columns))
+        ridge = np.array([1e-3, 1e-1, 1e-1])[columns]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            gradient = part.T @ (n * (p - y)) + ridge * w
+            curve = (part * (n * p * (1 - p))[:, None]).T @ part + np.diag(ridge)
+            step = np.linalg.solve(curve, gradient)
+            w -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[1:] >= 0).all():
+            out[columns] = w
+            return tuple(out.tolist())
+    out[0] = math.log((n @ y + 0.5) / (n @ (1 - y) + 0.5))
+    return tuple(out.tolist())
 
 
 def fit(train: DataFrame) -> Model:
@@ -277,18 +312,18 @@ def fit(train: DataFrame) -> Model:
             merged: Counter = Counter()
             for t, e, c in finds(memo, text or b""):
                 merged[t, min(e, 1), c] += 1
-            yield toxic, [(t, e, c, k) for (t, e, c), k in sorted(merged.items())]
+            yield toxic, len(text or b""), [(t, e, c, k) for (t, e, c), k in sorted(merged.items())]
 
     found = stored(
         arrow_rows(
-            train, find, "toxic int, found array<struct<term:int,edit:int,factor:double,n:bigint>>"
+            train, find, "toxic int, size bigint, found array<struct<term:int,edit:int,factor:double,n:bigint>>"
         ),
         "finds",
     )
     sizes = dict(found.groupBy("toxic").count().collect())
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
-        return Model(terms, np.full(len(terms), 0.8), np.full(len(terms), 0.6), -3.0, 4.0)
+        return Model(terms, np.full(len(terms), 0.8), np.full(len(terms), 0.6), -3.0, 4.0, 0.0)
     seen = found.select("toxic", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f.term, f.edit)))))
     counts = {
         (r.term, r.edit): (r.t, r.o)
@@ -297,14 +332,19 @@ def fit(train: DataFrame) -> Model:
     }
     exact = np.array([_worth(*counts.get((t, 0), (0, 0)), n_toxic, n_other, 0.9) for t in range(len(terms))])
     fuzzy = np.array([_worth(*counts.get((t, 1), (0, 0)), n_toxic, n_other, 0.8) for t in range(len(terms))])
-    worth = F.create_map(*[F.lit(v) for t in range(len(terms)) for e, w in ((0, exact), (1, fuzzy)) for v in (2 * t + e, float(w[t]))])
-    total = F.aggregate(
-        "found", F.lit(0.0), lambda a, f: a + worth[f.term * 2 + f.edit] * f.factor * f.n
-    )
-    # sums below 2^63 have a logarithm below 44, so these are at most 44,000 places for each label
-    points = found.groupBy(F.round(F.log1p(total), 3).alias("x"), "toxic").count().collect()
-    bias, slope = fit_curve(*(np.array([p[k] for p in points], float) for k in range(3)))
-    return Model(terms, exact, fuzzy, bias, slope)
+    model = Model(terms, exact, fuzzy, 0.0, 0.0, 0.0)
+
+    def weigh(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for toxic, size, all_finds in rows:
+            x = evidence(model, ((f["term"], f["edit"], f["factor"] * f["n"]) for f in all_finds), size)
+            yield toxic, *(round(v, 3) for v in x)
+
+    # no more places than texts in the sample
+    weighed = arrow_rows(found, weigh, "toxic int, x double, d double").groupBy("x", "d", "toxic").count()
+    places = np.array(weighed.select("x", "d", "toxic", "count").collect(), float)
+    discard(found)
+    bias, slope, density = fit_curve(places[:, :2], places[:, 2], places[:, 3])
+    return model._replace(bias=bias, slope=slope, density=density)
 
 
 def score_column(model: Model, text: str | Column) -> Column:
@@ -314,7 +354,8 @@ def score_column(model: Model, text: str | Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = _Memo(LexiconAutomaton(model.terms))
         for texts in batches:
-            x = np.array([evidence(model, finds(memo, t.as_py() or b"")) for t in texts])
+            bodies = [t.as_py() or b"" for t in texts]
+            x = np.array([evidence(model, finds(memo, t), len(t)) for t in bodies], float).reshape(-1, 2)
             yield pa.array(probability(model, x), pa.float64())
 
     return run(raw(text))
@@ -344,16 +385,24 @@ def training_rows(
     )
 
 
+def fit_once(docs: DataFrame, labels: DataFrame, text: str, key: str) -> Model:
+    """The model of ``training_rows``, whose table goes once it is fitted."""
+    train = training_rows(docs, labels, text, key)
+    model = fit(train)
+    discard(train)
+    return model
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score and predicted of every row; nulls and repeated rows are scored like any other."""
-    model = fit(training_rows(docs, labels, text, key))
+    model = fit_once(docs, labels, text, key)
     return (
         docs.select(F.col(key).alias("doc_id"), (fold(key, 4) == 2).alias("held_out"), score_column(model, text).alias("score"))
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     )
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold; all columns stay whatever their names."""
-    model = fit(training_rows(docs, labels, text))
+    model = fit_once(docs, labels, text, key)
     return docs.where(score_column(model, text) < THRESHOLD)

@@ -3,7 +3,9 @@
 import random
 import time
 
-from ligandloom.llm import decontaminate, html_text, line_crf, secret_scan
+import numpy as np
+
+from ligandloom.llm import decontaminate, html_text, line_crf, secret_scan, toxicity
 
 
 def test_deep_pages_take_linear_time(spark):
@@ -55,3 +57,27 @@ def test_texts_of_many_lines_teach(spark):
     assert first == again
     right = sum((score >= 0.5) == bool(k % 2) for k, score in first if k > 0)
     assert right >= 57
+
+
+def test_lexicon_grows_by_significance(spark):
+    """Every word that marks toxic texts is learned, however many there are and however short; common words are not."""
+    rows = [(f"the zog{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}x uff ran {k}".encode(), 1) for k in range(2000)]
+    rows += [(f"the dog ran away {k}".encode(), 0) for k in range(6000)]
+    train = spark.createDataFrame(rows, "body binary, toxic int")
+    terms = toxicity.learn_terms(train)
+    want = {f"zog{a}{b}x" for a in "abcdefghij" for b in "klmnopqrst"} | {"uff"}
+    assert set(terms) == want | set(toxicity.SEED)
+    copies = spark.createDataFrame([(b"only one text says blorb", 1)] * 500 + rows, "body binary, toxic int")
+    assert "blorb" not in toxicity.learn_terms(copies)
+    assert toxicity.learn_terms(train.limit(0)) == toxicity.SEED
+
+
+def test_chance_finds_in_long_texts_weigh_less():
+    model = toxicity.Model(["idiot"], np.array([1.0]), np.array([0.6]), -4.0, 0.5, 6.0)
+    short, long = (toxicity.evidence(model, [(0, 1, 1.0)] * 3, n) for n in (200, 20_000))
+    assert short[0] == long[0] and short[1] > long[1]
+    assert toxicity.evidence(model, [], 0) == toxicity.evidence(model, [], 10**6) == (0.0, 0.0)
+    x = np.array([[0.1, 0.1], [1.0, 1.0], [2.0, 0.2], [0.2, 0.1]])
+    bias, *weights = toxicity.fit_curve(x, np.array([0.0, 1.0, 0.0, 0.0]), np.full(4, 50.0))
+    assert bias < 0 and min(weights) >= 0 and weights[1] > 1
+    assert toxicity.fit_curve(np.zeros((2, 2)), np.array([0.0, 1.0]), np.array([9.0, 1.0]))[1:] == (0.0, 0.0)

@@ -43,7 +43,7 @@ def test_empty_documents_pass_all_stages(spark, sf):
 
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in LLM}
-    assert names == {f"op{k}" for k in range(1, 11)}
+    assert names == {f"op{k}" for k in range(1, 14)}
     assert set(LLM) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
