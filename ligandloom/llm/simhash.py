@@ -255,20 +255,19 @@ def one_per_group(docs: DataFrame, text: str = "text", key: str = "doc_id", radi
 
     All columns are kept whatever their names. Rows that repeat an id inside
     a component leave one row, that with the least text; a component in which no
-    row has an id keeps one row as well.
+    row has an id keeps one row as well. Only rows without an id of their own are fingerprinted a second time.
     """
-    whole = docs.select(
-        F.struct("*").alias("row"), F.col(key).alias("doc_id"), raw(text).alias("body"),
-        fingerprint_column(text).alias("fp"),
-    )
-    prints = stored(whole.select("doc_id", "fp"), "prints")
+    prints = stored(docs.select(F.col(key).alias("doc_id"), fingerprint_column(text).alias("fp")), "prints")
     groups = stored(group_fingerprints(prints, radius), "groups")
-    chosen = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    counts = prints.join(groups, "fp").where(chosen).groupBy("root").count()
-    repeated = stored(counts.where("count > 1").select("root"), "repeated")
-    kept = whole.join(groups, "fp").where(chosen)
-    once = kept.join(repeated, "root", "left_anti").select("row.*")
-    if repeated.isEmpty():
+    several = stored(prints.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "several")
+    whole = docs.select(F.struct("*").alias("row"), F.col(key).alias("doc_id"))
+    # where an id is a row's own, it alone says whether the row stays
+    stay = prints.join(groups, "fp").where("doc_id = component_id").select("doc_id").join(several, "doc_id", "left_anti")
+    once = whole.join(stay, "doc_id", "left_semi").select("row.*")
+    if several.isEmpty():
         return once
-    more = kept.join(repeated, "root", "left_semi").groupBy("root").agg(F.min_by("row", "body").alias("row"))
-    return once.unionByName(more.select("row.*"))
+    again = whole.where("doc_id is null").unionByName(whole.join(several, "doc_id", "left_semi").select("row", "doc_id"))
+    body = F.col("row").getField(text)
+    marked = again.select("row", "doc_id", raw(body).alias("body"), fingerprint_column(body).alias("fp"))
+    kept = marked.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return once.unionByName(kept.groupBy("root").agg(F.min_by("row", "body").alias("row")).select("row.*"))
