@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligandloom.llm.common import arrow_rows, fold, raw
+from ligandloom.llm.tokens import grouped, shingles, tokenise
 from ligandloom.session import discard, stored
 
 SEED = (
@@ -38,6 +39,8 @@ SEED = (
 RATIO, LEVEL = 15.0, 0.05
 #: Letters of the shortest learned term.
 SHORTEST = 3
+#: Words of a run by which near copies among the training texts are told.
+KIN = 5
 #: The curve and the lexicon are fitted on at most so many labelled rows of each class, chosen by a hash of their keys.
 SAMPLE = 20_000
 WINDOW = 8
@@ -172,6 +175,18 @@ class _Memo(dict):
         return found
 
 
+_MEMOS: dict[tuple[str, ...], _Memo] = {}
+
+
+def memo_of(terms: list[str]) -> _Memo:
+    """Made once in a worker and used for all its tasks."""
+    key = tuple(terms)
+    if key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[key] = _Memo(LexiconAutomaton(terms))
+    return _MEMOS[key]
+
+
 def finds(memo: _Memo, text: bytes) -> Iterator[tuple[int, int, float]]:
     """(term, edits, context factor) of each find in a text."""
     tokens = text.split()
@@ -227,6 +242,16 @@ def _document_words(rows: Iterable[tuple]) -> Iterator[tuple[str, int, int]]:
     yield from ((w, y, n) for (w, y), n in count.items())
 
 
+def _marked(rows: Iterable[tuple]) -> Iterator[tuple[int, bytes, int]]:
+    """(least hash of the runs of ``KIN`` words, text, toxic): near copies mostly agree in the first, other texts do not."""
+    for group in grouped(rows, 0):
+        tokens = tokenise([t or b"" for t, _ in group])
+        runs = shingles(tokens.hashes, KIN)
+        for (text, toxic), a, b in zip(group, tokens.first[:-1].tolist(), tokens.first[1:].tolist()):
+            part = runs[a : b - KIN + 1] if b - a >= KIN else tokens.hashes[a:b]
+            yield int(part.min().view(np.int64)) if len(part) else 0, text or b"", toxic
+
+
 def _surprise(t: Column, o: Column, n_toxic: int, n_other: int) -> Column:
     """The likelihood ratio statistic of a word in ``t`` toxic and ``o`` other texts."""
     both, share = t + o, n_toxic / (n_toxic + n_other)
@@ -243,11 +268,12 @@ def _surprise(t: Column, o: Column, n_toxic: int, n_other: int) -> Column:
 def learn_terms(train: DataFrame) -> list[str]:
     """The lexicon: the seed and the words that mark the toxic training texts (body, toxic).
 
-    Copies of a toxic text count once. The chance of a statistic of x or more is below exp(-x / 2);
+    Copies and near copies are no independent texts: of those that agree in the least hash of their runs of words,
+    one counts. The chance of a statistic of x or more is below exp(-x / 2);
     the bar is the least x that so few of the words tried pass by chance.
     """
-    distinct = train.where("toxic = 1").dropDuplicates(["body", "toxic"])
-    texts = distinct.unionByName(train.where("toxic = 0")).select("body", "toxic")
+    marked = arrow_rows(train.select("body", "toxic"), _marked, "h bigint, body binary, toxic int", batch=256)
+    texts = stored(marked.groupBy("h", "toxic").agg(F.min("body").alias("body")).select("body", "toxic"), "texts")
     sizes = dict(texts.groupBy("toxic").count().collect())
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
@@ -267,7 +293,8 @@ def learn_terms(train: DataFrame) -> list[str]:
         if tried * math.exp(-x / 2) <= LEVEL * passed:
             bar = x
     learned = [] if bar == math.inf else marks.where(F.col("x") >= bar).select("t", "word").collect()
-    discard(words)
+    for done in (words, texts):
+        discard(done)
     return list(dict.fromkeys([*SEED, *(w for _, w in sorted((-r.t, r.word) for r in learned))]))
 
 
@@ -307,7 +334,7 @@ def fit(train: DataFrame) -> Model:
     terms = learn_terms(train)
 
     def find(rows: Iterable[tuple]) -> Iterator[tuple]:
-        memo = _Memo(LexiconAutomaton(terms))
+        memo = memo_of(terms)
         for text, toxic in rows:
             merged: Counter = Counter()
             for t, e, c in finds(memo, text or b""):
@@ -352,7 +379,7 @@ def score_column(model: Model, text: str | Column) -> Column:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = _Memo(LexiconAutomaton(model.terms))
+        memo = memo_of(model.terms)
         for texts in batches:
             bodies = [t.as_py() or b"" for t in texts]
             x = np.array([evidence(model, finds(memo, t), len(t)) for t in bodies], float).reshape(-1, 2)

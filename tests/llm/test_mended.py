@@ -61,13 +61,14 @@ def test_texts_of_many_lines_teach(spark):
 
 def test_lexicon_grows_by_significance(spark):
     """Every word that marks toxic texts is learned, however many there are and however short; common words are not."""
-    rows = [(f"the zog{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}x uff ran {k}".encode(), 1) for k in range(2000)]
-    rows += [(f"the dog ran away {k}".encode(), 0) for k in range(6000)]
+    rows = [(f"{k} the zog{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}x uff ran {k}".encode(), 1) for k in range(2000)]
+    rows += [(f"{k} the dog ran away {k}".encode(), 0) for k in range(6000)]
     train = spark.createDataFrame(rows, "body binary, toxic int")
     terms = toxicity.learn_terms(train)
     want = {f"zog{a}{b}x" for a in "abcdefghij" for b in "klmnopqrst"} | {"uff"}
     assert set(terms) == want | set(toxicity.SEED)
-    copies = spark.createDataFrame([(b"only one text says blorb", 1)] * 500 + rows, "body binary, toxic int")
+    near = [(f"only one text says blorb and more that is always the same in each of them {k}".encode(), 1) for k in range(500)]
+    copies = spark.createDataFrame(near + rows, "body binary, toxic int")
     assert "blorb" not in toxicity.learn_terms(copies)
     assert toxicity.learn_terms(train.limit(0)) == toxicity.SEED
 
