@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ligandloom.llm.common import arrow_rows, fold, raw
-from ligandloom.llm.tokens import grouped, shingles, tokenise
+from ligandloom.llm.tokens import grouped, mix, shingles, tokenise
 from ligandloom.session import discard, stored
 
 SEED = (
@@ -39,8 +39,8 @@ SEED = (
 RATIO, LEVEL = 15.0, 0.05
 #: Letters of the shortest learned term.
 SHORTEST = 3
-#: Words of a run by which near copies among the training texts are told.
-KIN = 5
+#: Words of a run by which near copies among the training texts are told, and rounds of telling them.
+KIN, ROUNDS = 5, 3
 #: The curve and the lexicon are fitted on at most so many labelled rows of each class, chosen by a hash of their keys.
 SAMPLE = 20_000
 WINDOW = 8
@@ -242,14 +242,15 @@ def _document_words(rows: Iterable[tuple]) -> Iterator[tuple[str, int, int]]:
     yield from ((w, y, n) for (w, y), n in count.items())
 
 
-def _marked(rows: Iterable[tuple]) -> Iterator[tuple[int, bytes, int]]:
-    """(least hash of the runs of ``KIN`` words, text, toxic): near copies mostly agree in the first, other texts do not."""
+def _marked(rows: Iterable[tuple]) -> Iterator[tuple[list[int], bytes, int]]:
+    """(least hashes of the runs of ``KIN`` words, text, toxic): near copies mostly agree in each hash, other texts do not."""
     for group in grouped(rows, 0):
         tokens = tokenise([t or b"" for t, _ in group])
         runs = shingles(tokens.hashes, KIN)
         for (text, toxic), a, b in zip(group, tokens.first[:-1].tolist(), tokens.first[1:].tolist()):
             part = runs[a : b - KIN + 1] if b - a >= KIN else tokens.hashes[a:b]
-            yield int(part.min().view(np.int64)) if len(part) else 0, text or b"", toxic
+            least = [int(mix(part + np.uint64(k)).min().view(np.int64)) if len(part) else 0 for k in range(ROUNDS)]
+            yield least, text or b"", toxic
 
 
 def _surprise(t: Column, o: Column, n_toxic: int, n_other: int) -> Column:
@@ -268,12 +269,15 @@ def _surprise(t: Column, o: Column, n_toxic: int, n_other: int) -> Column:
 def learn_terms(train: DataFrame) -> list[str]:
     """The lexicon: the seed and the words that mark the toxic training texts (body, toxic).
 
-    Copies and near copies are no independent texts: of those that agree in the least hash of their runs of words,
+    Copies and near copies are no independent texts: of those that agree in a least hash of their runs of words,
     one counts. The chance of a statistic of x or more is below exp(-x / 2);
     the bar is the least x that so few of the words tried pass by chance.
     """
-    marked = arrow_rows(train.select("body", "toxic"), _marked, "h bigint, body binary, toxic int", batch=256)
-    texts = stored(marked.groupBy("h", "toxic").agg(F.min("body").alias("body")).select("body", "toxic"), "texts")
+    marked = arrow_rows(train.select("body", "toxic"), _marked, "h array<bigint>, body binary, toxic int", batch=256)
+    for k in range(ROUNDS):
+        first = F.min(F.struct("body", "h")).alias("first")
+        marked = marked.groupBy(F.col("h")[k].alias("least"), "toxic").agg(first).select("first.*", "toxic")
+    texts = stored(marked.select("body", "toxic"), "texts")
     sizes = dict(texts.groupBy("toxic").count().collect())
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
