@@ -308,16 +308,17 @@ def _worth(toxic: int, other: int, n_toxic: int, n_other: int, prior: float) ->
     return max(0.0, 2 * (t + prior * s) / (t + o + s) - 1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
-    """Bias and the weights of both columns of evidence in a logistic curve with a small ridge, by Newton steps.
+def fit_curve(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, ...]:
+    """Bias and the weight of each column of evidence in a logistic curve with a small ridge, by Newton steps.
 
-    A column that would make a text less toxic is left out.
+    Evidence that would speak against class 1 is left out: all columns are tried, then each alone, the last first.
     """
     design = np.c_[np.ones(len(x)), x]
-    out = np.zeros(3)
-    for columns in ([0, 1, 2], [0, 2], [0, 1]):
+    every = list(range(design.shape[1]))
+    out = np.zeros(len(every))
+    for columns in (every, *([0, k] for k in reversed(every[1:]))):
         part, w = design[:, columns], np.zeros(len(columns))
-        ridge = np.array([1e-3, 1e-1, 1e-1])[columns]
+        ridge = np.where(np.array(columns) == 0, 1e-3, 1e-1)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
             gradient = part.T @ (n * (p - y)) + ridge * w

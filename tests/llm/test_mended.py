@@ -82,3 +82,12 @@ def test_chance_finds_in_long_texts_weigh_less():
     bias, *weights = toxicity.fit_curve(x, np.array([0.0, 1.0, 0.0, 0.0]), np.full(4, 50.0))
     assert bias < 0 and min(weights) >= 0 and weights[1] > 1
     assert toxicity.fit_curve(np.zeros((2, 2)), np.array([0.0, 1.0]), np.array([9.0, 1.0]))[1:] == (0.0, 0.0)
+
+
+def test_curve_over_one_column():
+    """The line field has one column of evidence, the lexicon two."""
+    x, n = np.array([0.1, 0.2, 0.9, 0.8]), np.full(4, 20.0)
+    bias, slope = toxicity.fit_curve(x, np.array([0.0, 0.0, 1.0, 1.0]), n)
+    assert bias + slope * 0.1 < 0 < bias + slope * 0.9
+    bias, slope = toxicity.fit_curve(x, np.array([1.0, 1.0, 1.0, 0.0]), n)
+    assert slope == 0.0 and bias > 0
