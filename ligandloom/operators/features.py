@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ligandloom.functions import values as V
 from ligandloom.operators.ranks import SLICES, column_percentiles
@@ -34,23 +35,39 @@ def count_nonfinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+def _holds_numbers(df: DataFrame, column: str) -> bool:
+    """Is the column of a type whose values, cast to double, are what their texts convert to?"""
+    return isinstance(df.schema[column].dataType, (T.IntegralType, T.DoubleType))
+
+
+def as_number(df: DataFrame, column: str) -> Column:
+    """``to_number`` of a column, without the way through text where its type allows; NaN is null."""
+    if not _holds_numbers(df, column):
+        return V.to_number(F.col(column))
+    number = F.col(column).cast("double")
+    return F.when(~F.isnan(number), number)
+
+
 def numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns all of whose values convert to a number."""
+    """Columns all of whose values convert to a number; only those of other types than numbers are read."""
+    texts = [c for c in columns if not _holds_numbers(df, c)]
+    if not texts:
+        return list(columns)
     row = df.agg(
         *[
             F.count_if(F.col(c).isNotNull() & V.to_number(F.col(c)).isNull()
                        & (F.lower(F.col(c).cast("string")) != "nan")).alias(c)
-            for c in columns
+            for c in texts
         ]
     ).first()
-    return [c for c in columns if row[c] == 0]
+    return [c for c in columns if c not in texts or row[c] == 0]
 
 
 def drop_non_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Drop the columns with a value that does not convert, the others as double."""
     good = numeric_columns(df, columns)
     rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, *[V.to_number(F.col(c)).alias(c) for c in good])
+    return df.select(*rest, *[as_number(df, c).alias(c) for c in good])
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
