@@ -23,13 +23,14 @@ from pyspark.sql import types as T
 
 from ligandloom.functions.fingerprints import tanimoto
 from ligandloom.operators import ranks
-from ligandloom.session import settle
+from ligandloom.session import settle, spread
 
 #: Bytes of one chunk of references, and how many chunks are walked before the rows so far are written.
 CHUNK_BYTES = 64 << 20
 CHUNKS_AT_ONCE = 4
 BAND = 256
 ROWS_AT_ONCE = 4096
+MEETING_WORDS = 256  # two sets that meet in a join cost about as much as so many packed words compared
 
 
 def pack_bits(bits: pa.Array, n_bits: int) -> np.ndarray:
@@ -190,18 +191,26 @@ def _prefixes(sets: DataFrame, place: Column, limit: float) -> DataFrame:
     return sets.withColumn("_bit", F.explode(F.when(n == 0, F.array(F.lit(-1))).otherwise(rare)))
 
 
+def _meetings(lib: DataFrame, ref: DataFrame, on: list[str]) -> float:
+    """Pairs of rows that an equality join would make, from counts of its keys."""
+    mine, theirs = (df.groupBy(*on).agg(F.count(F.lit(1)).cast("double").alias(n)) for df, n in ((lib, "_n"), (ref, "_m")))
+    return mine.join(theirs, on).agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0.0
+
+
 def close_sets(library: DataFrame, references: DataFrame, limit: float, bits: str = "on_bits", n_bits: int = 1024) -> DataFrame:
     """Distinct bit sets (``_set``) of the library that have a reference closer than ``limit``, for two large sides.
 
-    Nothing is sent to all tasks but the order of the bits. Sets closer than the limit share one of their rarest bits
-    and have sizes within a factor of it, so both sides meet on (bit, band of sizes), the references in the bands next to
-    theirs as well. The overlap of such candidates is then counted exactly. Equal sets are one row on either side.
+    Sets closer than the limit share one of their rarest bits and have sizes within a factor of it, so both sides can
+    meet on (bit, band of sizes), the references in the bands next to theirs as well; the overlap of such candidates is
+    counted exactly. Equal sets are one row on either side. Where bits are so dense that this join would meet pairs more
+    often than a comparison of all packed sets costs, these are walked as in ``nearest``, each set up to its first close
+    reference. Both ways find the same sets.
     """
     if not 0 <= limit < 1:
         raise ValueError("the limit has to be from 0 up to, but not including, 1")
-    lib, ref = _sets(library, bits), _sets(references, bits)
-    place = _rare_first(lib, n_bits)
-    lib, ref = _prefixes(lib, place, limit), _prefixes(ref, place, limit).withColumnRenamed("_set", "_ref")
+    lib_sets, ref_sets = settle(_sets(library, bits)), settle(_sets(references, bits))
+    place = _rare_first(lib_sets, n_bits)
+    lib, ref, on = _prefixes(lib_sets, place, limit), _prefixes(ref_sets, place, limit).withColumnRenamed("_set", "_ref"), ["_bit"]
     if limit > 0:
         width = -math.log(limit) * 1.0001  # bands a little wider than the factor absorb rounding
 
@@ -210,9 +219,13 @@ def close_sets(library: DataFrame, references: DataFrame, limit: float, bits: st
 
         lib = lib.withColumn("_band", band("_set"))
         ref = ref.withColumn("_band", F.explode(F.array(*[band("_ref") + k for k in (-1, 0, 1)])))
-        near = lib.join(ref, ["_bit", "_band"])
-    else:
-        near = lib.join(ref, "_bit")
+        on = ["_bit", "_band"]
+    words = float(lib_sets.count()) * ref_sets.count() * math.ceil(n_bits / 64)
+    if words < _meetings(lib, ref, on) * MEETING_WORDS:
+        refs = ref_sets.select("_set", F.xxhash64("_set").alias("_no"), F.lit("").alias("_name"))
+        found = nearest(spread(lib_sets), refs, "_name", "_no", "_set", n_bits, limit=limit)
+        return found.where(F.col("max_sim") > limit).select("_set")
+    near = lib.join(ref, on)
     small, large = F.least(F.size("_set"), F.size("_ref")), F.greatest(F.size("_set"), F.size("_ref"))
     near = near.where((large == 0) | (small > F.lit(limit) * large))
     return near.where(tanimoto(F.col("_set"), F.col("_ref")) > limit).select("_set").distinct()

@@ -58,3 +58,16 @@ def test_plan_sends_no_side_to_all_tasks(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     assert "Broadcast" not in plan and "Cartesian" not in plan and "SortMergeJoin" in plan
+
+
+def test_dense_bits_are_not_joined(spark, monkeypatch):
+    """Sets of half of all bits share rare bits with nearly all others: they are compared packed, and both ways agree."""
+    rng = random.Random(9)
+    lib, ref = ([(k, sorted(rng.sample(range(64), rng.randint(20, 40)))) for k in range(n)] for n in (400, 150))
+    a, b = spark.createDataFrame(lib, ROWS), spark.createDataFrame(ref, ROWS)
+    got = S.close_sets(a, b, 0.5, n_bits=64)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    monkeypatch.setattr(S, "MEETING_WORDS", 0)
+    joined = S.close_sets(a, b, 0.5, n_bits=64)
+    assert "Join" in joined._jdf.queryExecution().toString()
+    assert sorted(r[0] for r in got.collect()) == sorted(r[0] for r in joined.collect())
