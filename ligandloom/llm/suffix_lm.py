@@ -3,8 +3,7 @@
 Words. The training documents' words are counted exactly in a distributed table, which the base and the model share.
 
 Model. A suffix tree over words, whose contexts are up to ``WORDS`` words; a text begins and ends with a word
-of its own. Every run of words that the training documents hold often enough is counted: twice in
-a small corpus, and two more times for each doubling, so the tables grow with the corpus. Merged Misra-Gries summaries name the runs that may be so frequent, a second scan counts these exactly. A
+of its own. Every run of words that the training documents hold ``LEAST`` times is counted, whatever their size. Merged Misra-Gries summaries name the runs that may be so frequent, a second scan counts these exactly. A
 context enters the tree if its next words diverge enough from what its longest suffix foretells. Distributions are
 smoothed with that suffix's, down to the word counts. The logarithm of a probability is a sum over the runs that end at a
 word. The ``HEAD`` most frequent words and runs are looked up inside the tasks; the others are met by one join on hashes.
@@ -37,8 +36,6 @@ from ligandloom.session import discard, stored
 
 #: Words of a context, and how often a run of words must occur.
 WORDS, LEAST = 3, 2
-#: Words of a corpus up to which ``LEAST`` holds; each doubling asks for ``MORE`` occurrences more.
-SMALL, MORE = 1 << 18, 2
 DEPTH = 5
 RARE = 131_072
 #: Least divergence of a context: nats of likelihood it gains for each next symbol it has to store.
@@ -390,12 +387,7 @@ def count_words(train: DataFrame, parts: int) -> DataFrame:
     return _added_up(train, ["g"], rows_of, parts)
 
 
-def occurrences(words: int) -> int:
-    """How often a run has to occur in a corpus of so many words."""
-    return LEAST + MORE * max(0, (words // SMALL).bit_length() - 1)
-
-
-def count_runs(train: DataFrame, parts: int, least: int) -> DataFrame:
+def count_runs(train: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
     """(size, g, c, s, n) of all runs of 2 to ``WORDS`` + 1 words that occur ``least`` times.
 
     ``g``, ``c`` and ``s`` are hashes of the run, and of it without its last and without its first word.
@@ -428,7 +420,7 @@ def learn_words(train: DataFrame) -> tuple[DataFrame, int, int, int]:
     words = stored(count_words(train, parts_of), "words")
     total, kinds = words.where(F.col("g") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     texts = words.where(F.col("g") == start).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    all_runs = stored(count_runs(train, parts_of, occurrences(total)), "runs")
+    all_runs = stored(count_runs(train, parts_of), "runs")
     level = words.select("g", "n", (F.col("n") / F.lit(float(max(1, total + kinds)))).alias("p"))
     x = F.when(F.col("g") == start, 0.0).otherwise(F.log10("p")).alias("x")
     parts = [level.select("g", x, F.when(F.col("g") != start, F.col("n")).alias("c"), "n")]
