@@ -240,8 +240,11 @@ t AS (SELECT c.*, CASE WHEN coarse IN (SELECT coarse FROM ka) THEN 'overlap_acti
 
 
 def _known(spark, sf):
-    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "id")
-    both = labels.join(docs(spark, sf), "id").withColumn("coarse", V.coarse_key(F.col("key")))
+    # only the few known texts get keys: keys made before the join would be made of all texts, for each use
+    labels = table(spark, sf, "labels").where("toxic = 1 or quality = 0").withColumnRenamed("doc_id", "id")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    both = labels.join(texts, "id").withColumn("key", V.canonical_key(F.col("text")))
+    both = both.withColumn("coarse", V.coarse_key(F.col("key")))
     actives = both.where("toxic = 1").withColumn("on_bits", _doc_bits(F.col("key")))
     actives = actives.select("coarse", F.col("id").alias("ord"), "on_bits")
     inactives = both.where("quality = 0 and toxic = 0").select("coarse")

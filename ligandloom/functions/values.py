@@ -125,6 +125,10 @@ def finite(col: Column) -> Column:
     return F.when(~(F.isnan(col) | (F.abs(col) == F.lit(float("inf")))), col)
 
 
+#: Matches the texts whose ``canonical_key`` is not null.
+NOT_BLANK = r"[^ \t\r\n]"
+
+
 def canonical_key(col: Column, lower: bool = False, valid: str | None = None) -> Column:
     """One normal form per structure text, null when empty or not valid."""
     form = F.trim(F.regexp_replace(col, r"[ \t\r\n]+", " "))

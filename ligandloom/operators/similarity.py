@@ -28,8 +28,11 @@ from ligandloom.session import settle, spread
 #: Bytes of one chunk of references, and how many chunks are walked before the rows so far are written.
 CHUNK_BYTES = 64 << 20
 CHUNKS_AT_ONCE = 4
+#: References and rows compared at once: few enough that their pairs stay in the cache of a core, and that the rows
+#: of a part, which are put together by size, rule out nearly the same bands.
 BAND = 256
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 256
+WORDS_AT_ONCE = 3  # their common bits are counted in one byte
 MEETING_WORDS = 256  # two sets that meet in a join cost about as much as so many packed words compared
 
 
@@ -44,11 +47,25 @@ def pack_bits(bits: pa.Array, n_bits: int) -> np.ndarray:
     return np.packbits(flat, axis=1, bitorder="little").view(np.uint64)
 
 
-def _ceiling(lo: int, hi: int, low: int, high: int) -> float:
-    """Highest possible similarity of sets of lo ... hi bits and of low ... high bits."""
-    if hi >= low and high >= lo:
-        return 1.0
-    return hi / low if hi < low else high / lo
+def _ceiling(lo: int, hi: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Highest possible similarity of sets of lo ... hi bits and of those of each band, low ... high bits."""
+    apart = np.where(hi < low, hi / np.maximum(low, 1), high / max(lo, 1))
+    return np.where((hi >= low) & (high >= lo), 1.0, apart)
+
+
+def _shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Numbers of common bits of all pairs of sets; both sides are (words, sets)."""
+    out = np.zeros((one.shape[1], other.shape[1]), dtype=np.int32)
+    both = np.empty(out.shape, dtype=np.uint64)
+    few, more = np.empty(out.shape, dtype=np.uint8), np.empty(out.shape, dtype=np.uint8)
+    for at in range(0, len(one), WORDS_AT_ONCE):
+        for w in range(at, min(at + WORDS_AT_ONCE, len(one))):
+            np.bitwise_and(one[w, :, None], other[w], out=both)
+            np.bitwise_count(both, out=few if w == at else more)
+            if w > at:
+                few += more
+        out += few
+    return out
 
 
 def best_match(
@@ -65,23 +82,24 @@ def best_match(
     n_ref = np.bitwise_count(ref).sum(axis=1, dtype=np.int32)
     by_size = np.argsort(n_ref, kind="stable")
     bands = [np.sort(by_size[at : at + BAND]) for at in range(0, len(ref), BAND)]
-    spans = [(int(n_ref[b].min()), int(n_ref[b].max())) for b in bands]
+    words = [np.ascontiguousarray(ref[b].T) for b in bands]
+    low, high = (np.array([f(n_ref[b]) for b in bands]) for f in (np.min, np.max))
     rows_by_size = np.argsort(n_lib, kind="stable")
     for at in range(0, len(lib), ROWS_AT_ONCE):
         rows = rows_by_size[at : at + ROWS_AT_ONCE]
         lo, hi = int(n_lib[rows[0]]), int(n_lib[rows[-1]])
-        reach = [_ceiling(lo, hi, *span) for span in spans]
-        for k in sorted(range(len(bands)), key=lambda k: -reach[k]):
+        reach = _ceiling(lo, hi, low, high)
+        for k in np.argsort(-reach, kind="stable").tolist():
             # an equal similarity may still have an earlier reference
             open_rows = rows[sims[rows] <= min(reach[k], limit)]
             if not len(open_rows):
-                continue
-            part, band = lib[open_rows], bands[k]
-            shared = np.zeros((len(part), len(band)), dtype=np.int32)
-            for w in range(lib.shape[1]):
-                shared += np.bitwise_count(part[:, w, None] & ref[None, band, w])
+                break  # the bands after this one reach no higher
+            band, part = bands[k], np.ascontiguousarray(lib[open_rows].T)
+            shared = _shared(part, words[k])
             joint = n_lib[open_rows, None] + n_ref[None, band] - shared
-            sim = np.where(joint == 0, 1.0, shared / np.maximum(joint, 1))
+            sim = shared / np.maximum(joint, 1)
+            if not lo and not low[k]:
+                sim[joint == 0] = 1.0
             found, first = sim.max(axis=1), band[sim.argmax(axis=1)]
             old = picks[open_rows]
             better = (found > sims[open_rows]) | ((found == sims[open_rows]) & (old >= 0) & (first < old))
