@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from ligandloom.llm.common import arrow_rows, fold, raw, words_of
 from ligandloom.llm.phrases import _LOW, PART, bit_of, bucket_of, summaries, survivors
 from ligandloom.llm.sieve import BITS, has, sieve_of
-from ligandloom.llm.tokens import grouped, mix, tokenise
-from ligandloom.session import discard, stored
+from ligandloom.llm.tokens import grouped, mix, tokenise, unmix
+from ligandloom.session import discard, shuffles_dropped, stored
 
 #: Words of a context, and how often a run of words must occur.
 WORDS, LEAST = 3, 2
@@ -250,12 +250,14 @@ def learn_tree(train: DataFrame) -> Tree:
     for depth in range(DEPTH, -1, -1):
         if depth < DEPTH:
             shorter = F.col("g").bitwiseAND((1 << 8 * (depth + 1)) - 1)
-            level = stored(level.groupBy(shorter.alias("g")).agg(F.sum("n").alias("n")), "level")
+            longer, level = level, stored(level.groupBy(shorter.alias("g")).agg(F.sum("n").alias("n")), "level")
+            discard(longer)
         context = F.shiftrightunsigned("g", 8)
         frequent = level.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).where(F.col("t") >= least).select("c")
         found = level.join(frequent, context == F.col("c")).select("c", F.col("g").bitwiseAND(255).alias("s"), "n")
         table = found.toArrow()
         rows.append((np.full(len(table), depth), *(x.to_numpy() for x in table.columns)))
+    discard(level)
     return grow_tree(*(np.concatenate(x) for x in zip(*rows)))
 
 
@@ -280,8 +282,26 @@ def word_runs(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray,
     return doc, place, runs
 
 
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+    return mix(first * SPREAD + second)
+
+
+def second_of(run: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hash that ``joined`` put behind ``first`` to make ``run``."""
+    return unmix(run) - first * SPREAD
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then their next ones, and so on: equal bytes lie together and shrink when sent."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(packed: np.ndarray, width: int) -> list[np.ndarray]:
+    """The ``width`` columns whose ``planes`` were put one behind the other."""
+    return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in packed.reshape(width, 8, -1)]
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
@@ -318,13 +338,16 @@ def partitions(train: DataFrame) -> int:
 
 
 def _added_up(
-    docs: DataFrame, columns: list[str], rows_of: Callable[[list[bytes]], list[np.ndarray]], parts: int, least: int = 1
-) -> DataFrame:
-    """(*columns, n) of the column ``body``, n from ``least`` on; ``rows_of`` gives keys, their facts and 1s.
+    docs: DataFrame, columns: list[str], rows_of: Callable[[list[bytes]], list[np.ndarray]], parts: int, least: int = 1,
+    made: dict[str, Callable[..., np.ndarray]] | None = None,
+) -> DataFrame:
+    """(*columns, *made, n) of the column ``body``, n from ``least`` on; ``rows_of`` gives keys, their facts and 1s.
 
+    ``made`` are facts that follow from the others, and are not sent.
     Tasks add up before they send, many rows packed in one, to the hash partition of the key, which adds up again.
     """
-    width = len(columns) + 1
+    width, made = len(columns) + 1, made or {}
+    names = [*columns, *made, "n"]
 
     def sent(held: list[list[np.ndarray]]) -> Iterator[tuple]:
         rows = _sums([list(x) for x in zip(*held)])
@@ -334,7 +357,7 @@ def _added_up(
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
             for k in range(a, b, ROW_RUNS):
                 part = slice(k, min(b, k + ROW_RUNS))
-                yield int(bucket[a]), b"".join(x[part].astype("<u8").tobytes() for x in rows)
+                yield int(bucket[a]), b"".join(planes(x[part]) for x in rows)
 
     def count(rows: Iterable[tuple]) -> Iterator[tuple]:
         held: list[list[np.ndarray]] = []
@@ -357,15 +380,16 @@ def _added_up(
         def out() -> Iterator[pa.RecordBatch]:
             if held:
                 rows = _sums([list(x) for x in zip(*held)])
-                kept = rows[-1] >= least
-                yield pa.RecordBatch.from_arrays([pa.array(x[kept].view(np.int64)) for x in rows], [*columns, "n"])
+                *facts, n = (x[rows[-1] >= least] for x in rows)
+                rows = [*facts, *(f(*facts) for f in made.values()), n]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in rows], names)
 
         for batch in batches:
             for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now:
                     yield from out()
                     now, held, fresh = bucket, [], 0
-                held.append(list(np.frombuffer(packed.as_buffer(), "<u8").reshape(width, -1)))
+                held.append(unplaned(np.frombuffer(packed.as_buffer(), np.uint8), width))
                 fresh += len(held[-1][0])
                 if fresh >= 4 * RUNS_HELD:
                     held = [_sums([list(x) for x in zip(*held)])]
@@ -374,7 +398,7 @@ def _added_up(
 
     packed = arrow_rows(docs, count, "bucket bigint, packed binary", batch=128)
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(add, ", ".join(f"{c} bigint" for c in [*columns, "n"]))
+    return dealt.mapInArrow(add, ", ".join(f"{c} bigint" for c in names))
 
 
 def count_words(train: DataFrame, parts: int) -> DataFrame:
@@ -401,11 +425,10 @@ def count_runs(train: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
         for size, at, g, runs in whole_runs(texts, range(2, WORDS + 2)):
             real = has(sieve, bit_of(bucket_of(g, parts), g & _LOW))
             at, g = at[real], g[real]
-            shorter = runs[size - 2]
-            found.append([g, np.full(len(g), size, np.uint64), shorter[at], shorter[at + 1], np.ones(len(g), np.uint64)])
+            found.append([g, np.full(len(g), size, np.uint64), runs[size - 2][at], np.ones(len(g), np.uint64)])
         return [np.concatenate(x) for x in zip(*found)]
 
-    return _added_up(train, ["g", "size", "c", "s"], rows_of, parts, least)
+    return _added_up(train, ["g", "size", "c"], rows_of, parts, least, {"s": lambda g, size, c: second_of(g, c)})
 
 
 def learn_words(train: DataFrame) -> tuple[DataFrame, int, int, int]:
@@ -476,22 +499,24 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         F.col(key).alias("doc_id"), (fold(key, 7) == 2).alias("held_out"), raw(text).alias("body"),
     )
     train = whole.where(~F.col("held_out")).select("body")
-    tree = learn_tree(train)
-    table, n, v, n_docs = learn_words(train)  # ends are words here, starts are none
-    unseen = math.log10(v / (n + v)) if n else 0.0
-    low = math.log10(n + v + 1)
-    least, common = head_of(table)
-    known_g = common["g"].to_numpy().view(np.uint64)
-    order = np.argsort(known_g)
-    known_g = np.r_[known_g[order], np.uint64((1 << 64) - 1)]
-    known_x = np.r_[common["x"].to_numpy()[order], 0.0]
-    count = np.nan_to_num(common["c"].to_numpy(zero_copy_only=False).astype(float))[order]
-    known_c = np.r_[count, 0.0]
-    here = np.zeros(1 << (BITS - 3), np.uint8)  # the bitmap of the common rows
-    bit = bits_of(known_g[:-1])
-    np.bitwise_or.at(here, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
-    tail = table.where(F.col("n") < least)
-    rest = sieve_of(tail.select(F.shiftrightunsigned("g", 64 - BITS).alias("bit")), "bit")
+    spark = docs.sparkSession
+    with shuffles_dropped(spark):
+        tree = learn_tree(train)
+        table, n, v, n_docs = learn_words(train)  # ends are words here, starts are none
+        unseen = math.log10(v / (n + v)) if n else 0.0
+        low = math.log10(n + v + 1)
+        least, common = head_of(table)
+        known_g = common["g"].to_numpy().view(np.uint64)
+        order = np.argsort(known_g)
+        known_g = np.r_[known_g[order], np.uint64((1 << 64) - 1)]
+        known_x = np.r_[common["x"].to_numpy()[order], 0.0]
+        count = np.nan_to_num(common["c"].to_numpy(zero_copy_only=False).astype(float))[order]
+        known_c = np.r_[count, 0.0]
+        here = np.zeros(1 << (BITS - 3), np.uint8)  # the bitmap of the common rows
+        bit = bits_of(known_g[:-1])
+        np.bitwise_or.at(here, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
+        tail = table.where(F.col("n") < least)
+        rest = sieve_of(tail.select(F.shiftrightunsigned("g", 64 - BITS).alias("bit")), "bit")
 
     def asked(texts: list[bytes], machine: Automaton) -> tuple[np.ndarray, list[list[tuple]]]:
         """Tokens, known ones, base and score of each text from the common rows; the others, with what they give if they are in no table."""
@@ -546,7 +571,8 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         "base double, score double, rest array<struct<g:bigint,k:bigint,e:double,w:boolean>>"
     )
     scored = arrow_rows(whole, score, schema, batch=256).withColumn("row", F.monotonically_increasing_id())
-    scored = stored(scored, "scored")
+    with shuffles_dropped(spark):
+        scored = stored(scored, "scored")
     asked_for = scored.select("row", F.explode("rest").alias("a")).select("row", "a.*")
     met = asked_for.join(tail.select("g", "x", "c"), "g", "left")
     more = met.groupBy("row").agg(

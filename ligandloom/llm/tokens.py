@@ -27,6 +27,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """What ``mix`` made ``x`` of."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(0x319642B2D24D8EC3)
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(0x96DE1B173F119089)
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 class Tokens(NamedTuple):
     data: np.ndarray  # the bytes of all texts, one space after each
     starts: np.ndarray  # first byte of each word
