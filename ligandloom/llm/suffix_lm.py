@@ -20,17 +20,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ligandloom.llm.common import arrow_rows, fold, raw, words_of
-from ligandloom.llm.phrases import _LOW, PART, bit_of, bucket_of, summaries, survivors
-from ligandloom.llm.sieve import BITS, has, sieve_of
+from ligandloom.llm.phrases import bucket_of
+from ligandloom.llm.sieve import BITS, has
 from ligandloom.llm.tokens import grouped, mix, tokenise, unmix
 from ligandloom.session import discard, shuffles_dropped, stored
 
@@ -41,10 +45,18 @@ RARE = 131_072
 #: Least divergence of a context: nats of likelihood it gains for each next symbol it has to store.
 TEST = 1.0
 HEAD = 1 << 20
+CHUNKS = (1 << 24) + 1  # more than the chunks of texts in a task; odd, so that these go to all partitions
+SHELF = 20  # bits of a hash that tell where the common rows begin which share them
 START_WORD, END_WORD = (mix(np.array([k], np.uint64))[0] for k in (1, 2))
 END = 0xFF  # no UTF-8 text has this byte; it also stands before a text
 LANES = 2048
-GRAMS_HELD, RUNS_HELD, ROW_RUNS = 2_000_000, 600_000, 2048
+#: Bytes of text for each hash partition.
+PART = 8 << 20
+#: The runs are counted in so many steps, one after the other.
+SHARES = 2
+#: Numbers that a task holds before it sends, and numbers of a row it sends.
+GRAMS_HELD, KEYS_HELD, RUNS_HELD, ASKED_HELD = 2_000_000, 2_000_000, 1_500_000, 500_000
+ROW_KEYS, ROW_RUNS = 16_384, 4096
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,16 +71,19 @@ def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of ``DEPTH`` symbols and the next one, oldest first in the high bits, and their counts."""
-    data, starts, stops = stream(texts)
+    data, _, stops = stream(texts)
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    key = np.zeros(len(data) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | data[k : len(data) - DEPTH + k]
-    real = np.zeros(len(data) + 1, np.int8)
-    real[starts] += 1
-    real[stops] -= 1
-    return np.unique(key[np.cumsum(real[:-1])[DEPTH:] > 0], return_counts=True)
+    n = len(data) - DEPTH
+    pairs = data.astype(np.uint64)
+    pairs = pairs[:-1] << np.uint64(8) | pairs[1:]
+    key = pairs[:n].copy()
+    for k in range(2, DEPTH, 2):  # DEPTH is odd
+        key <<= np.uint64(16)
+        key |= pairs[k : k + n]
+    real = np.ones(len(data), bool)
+    real[(stops[:, None] - 1 - np.arange(DEPTH)).ravel()] = False  # these reach into the next text
+    return np.unique(key[real[:n]], return_counts=True)
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,29 +94,6 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first)
 
 
-def count_grams(train: DataFrame) -> DataFrame:
-    """(g, n) of all runs of the column ``body``; tasks add up before they send."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part):
-            return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1])], ["g", "n"])
-
-        held: list[tuple] = []
-        rows = ((t.as_py() or b"",) for b in batches for t in b.column(0))
-        for group in grouped(rows, 0):
-            part = grams([t for (t,) in group])
-            if len(part[0]):
-                held.append(part)
-            if sum(len(k) for k, _ in held) >= GRAMS_HELD:
-                held = [_added(held)]
-                if len(held[0][0]) >= GRAMS_HELD // 2:
-                    yield out(held.pop())
-        if held:
-            yield out(_added(held))
-
-    return train.mapInArrow(count, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
-
-
 class Tree(NamedTuple):
     symbols: np.ndarray  # all that occur in it, sorted
     depth: np.ndarray  # of each context in the tree; the first is the empty one
@@ -192,16 +184,26 @@ class Automaton:
         sums = self.sums(data)
         return sums[stops] - sums[starts]
 
-    def spelled(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each word with the symbol after it, and of the end of each text without words."""
+    def spelled(self, texts: list[bytes], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word with the symbol after it, or of the chosen ones, and of the end of each text without words."""
         data, starts, stops = stream(texts)
-        sums = self.sums(data)
         full = stops - starts > 1
         last = data == 0x20
         last[stops[full] - 1] = True
         after = np.flatnonzero(last) + 1
         begins = np.sort(np.r_[starts[full], np.flatnonzero(data == 0x20) + 1])
-        return sums[after] - sums[begins], np.where(full, 0.0, sums[stops] - sums[starts])
+        if chosen is not None:
+            begins, after = begins[chosen], after[chosen]
+        n = len(begins)
+        begins, after = np.r_[begins, starts[~full]], np.r_[after, stops[~full]]
+        # one stretch behind the other, each with the symbols before it
+        sizes = after - begins + DEPTH
+        ends = np.cumsum(sizes)
+        sums = self.sums(data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(after - ends, sizes)])
+        found = sums[ends] - sums[ends - sizes + DEPTH]
+        empty = np.zeros(len(texts))
+        empty[~full] = found[n:]
+        return found[:n], empty
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         """log10 probability of the symbols before each place of a stream."""
@@ -237,30 +239,6 @@ def automaton_of(tree: Tree) -> Automaton:
     return _AUTOMATA[mark]
 
 
-def learn_tree(train: DataFrame) -> Tree:
-    """The suffix tree of the column ``body``.
-
-    At each depth at most ``RARE`` contexts are frequent enough, so what reaches
-    the driver is bounded by the parameters.
-    """
-    level = stored(count_grams(train), "grams")
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(2, -(-total // RARE))
-    rows = []
-    for depth in range(DEPTH, -1, -1):
-        if depth < DEPTH:
-            shorter = F.col("g").bitwiseAND((1 << 8 * (depth + 1)) - 1)
-            longer, level = level, stored(level.groupBy(shorter.alias("g")).agg(F.sum("n").alias("n")), "level")
-            discard(longer)
-        context = F.shiftrightunsigned("g", 8)
-        frequent = level.groupBy(context.alias("c")).agg(F.sum("n").alias("t")).where(F.col("t") >= least).select("c")
-        found = level.join(frequent, context == F.col("c")).select("c", F.col("g").bitwiseAND(255).alias("s"), "n")
-        table = found.toArrow()
-        rows.append((np.full(len(table), depth), *(x.to_numpy() for x in table.columns)))
-    discard(level)
-    return grow_tree(*(np.concatenate(x) for x in zip(*rows)))
-
-
 def word_runs(texts: list[bytes], longest: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Text of each word, its place among all words or -1 for a start and -2 for an end, and hashes of runs from it on.
 
@@ -304,11 +282,75 @@ def unplaned(packed: np.ndarray, width: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in packed.reshape(width, 8, -1)]
 
 
+def packed_of(key: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers in ascending order of the first, of which only the steps are kept."""
+    return b"".join(map(planes, (np.diff(key, prepend=key.dtype.type(0)), *(c.view(np.uint64) for c in columns))))
+
+
+def unpacked(rows: Iterable[bytes], width: int) -> list[np.ndarray]:
+    """The columns of rows that ``packed_of`` made, one behind the other."""
+    parts = [unplaned(np.frombuffer(r, np.uint8), width) for r in rows]
+    if not parts:
+        return [np.empty(0, np.uint64) for _ in range(width)]
+    key, *columns = zip(*parts)
+    return [np.concatenate([np.cumsum(k, dtype=np.uint64) for k in key]), *map(np.concatenate, columns)]
+
+
+def dealt(kind: int, parts: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """(bucket, kind, number, packed): numbers for the hash partition of their key, many in a row."""
+    order = np.argsort(key)
+    key, columns = key[order], [c[order] for c in columns]
+    bucket = bucket_of(key, parts)
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+        for k in range(a, b, ROW_RUNS):
+            part = slice(k, min(b, k + ROW_RUNS))
+            yield int(bucket[a]), kind, part.stop - k, packed_of(key[part], *(c[part] for c in columns))
+
+
+DEALT = "bucket bigint, kind int, number bigint, packed binary"
+
+
+def together(rows: DataFrame, tasks: int, key: str = "bucket", *order: str) -> DataFrame:
+    """Rows of equal keys, one key after the other; the keys go to ``tasks`` tasks in turn."""
+    return rows.repartitionById(max(1, tasks), (F.col(key) % max(1, tasks)).cast("int")).sortWithinPartitions(key, *order)
+
+
+def met(rows: DataFrame, tasks: int, widths: dict[int, int], answer: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """Dealt rows that ``answer`` makes of the columns, by kind, that each hash partition was dealt."""
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            held: dict[int, list[bytes]] = {kind: [] for kind in widths}
+            for _, kind, _, packed in mine:
+                held[kind].append(packed)
+            yield from answer(*(unpacked(held.pop(kind), width) for kind, width in widths.items()))
+
+    return arrow_rows(together(rows, tasks), run, DEALT, batch=64)
+
+
 def bits_of(hashes: np.ndarray) -> np.ndarray:
-    """Bit numbers of hashes in a bitmap."""
+    """Bit numbers of hashes in a bitmap; hashes of one partition have neighbouring bits."""
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def slice_of(bits: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The bytes of a bitmap from the first of some bits to the last, and where they begin."""
+    if len(bits):
+        at = int(bits.min()) >> 3
+        out = np.zeros((int(bits.max()) >> 3) + 1 - at, np.uint8)
+        np.bitwise_or.at(out, (bits >> 3) - at, np.left_shift(1, bits & 7).astype(np.uint8))
+        yield at, out.tobytes()
+
+
+def bitmap_of(slices: DataFrame) -> np.ndarray:
+    """The bitmap of fixed size whose parts are the rows (at, bits)."""
+    out, table = np.zeros(1 << (BITS - 3), np.uint8), slices.toArrow()
+    for at, bits in zip(table["at"].to_pylist(), table["bits"]):
+        out[at : at + len(bits.as_buffer())] |= np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
+
+
 def whole_runs(texts: list[bytes], sizes: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """(size, where its runs begin, their hashes, hashes of all runs by size) of runs that stay in one text."""
     sizes = list(sizes)
@@ -318,175 +360,368 @@ def whole_runs(texts: list[bytes], sizes: Iterable[int]) -> Iterator[tuple[int,
         yield size, at, runs[size - 1][at], runs
 
 
-def run_hashes(group: list[tuple]) -> list[np.ndarray]:
-    return [g for _, _, g, _ in whole_runs([r[0] or b"" for r in group], range(2, WORDS + 2))]
+def parts_of(keys: np.ndarray) -> np.ndarray:
+    """Where equal neighbours begin."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
 
 
 def _sums(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Rows (key, facts of the key, ..., number) with equal keys added up."""
     key, *facts, number = (np.concatenate(x) for x in columns)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    first = parts_of(key)
     number = np.add.reduceat(number[order], first) if len(key) else number
-    return [key[first], *[f[order][first] for f in facts], number]
+    return [key[first], *[f[order[first]] for f in facts], number]
 
 
 def partitions(train: DataFrame) -> int:
-    """Hash partitions for the runs of the column ``body``, by its bytes."""
-    return max(1, -(-(train.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // PART))
+    """Hash partitions for the runs of the column ``body``, by its bytes: a power of two."""
+    size = train.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    return 1 << max(0, -(-size // PART) - 1).bit_length()
+
 
+#: Spreads the two symbols by which runs of symbols are dealt; odd, so that it can be undone.
+STIR = 0x9E37
 
-def _added_up(
-    docs: DataFrame, columns: list[str], rows_of: Callable[[list[bytes]], list[np.ndarray]], parts: int, least: int = 1,
-    made: dict[str, Callable[..., np.ndarray]] | None = None,
-) -> DataFrame:
-    """(*columns, *made, n) of the column ``body``, n from ``least`` on; ``rows_of`` gives keys, their facts and 1s.
 
-    ``made`` are facts that follow from the others, and are not sent.
-    Tasks add up before they send, many rows packed in one, to the hash partition of the key, which adds up again.
+def turned(g: np.ndarray) -> np.ndarray:
+    """Runs of symbols as keys that begin with the two newest symbols of the context."""
+    last = (g >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(STIR) & np.uint64(0xFFFF)
+    return last << np.uint64(48) | (g & np.uint64(0xFF)) << np.uint64(24) | g >> np.uint64(24)
+
+
+def turned_back(key: np.ndarray) -> np.ndarray:
+    last = (key >> np.uint64(48)) * np.uint64(pow(STIR, -1, 1 << 16)) & np.uint64(0xFFFF)
+    return (key & np.uint64(0xFFFFFF)) << np.uint64(24) | last << np.uint64(8) | key >> np.uint64(24) & np.uint64(0xFF)
+
+
+def count_grams(train: DataFrame, parts: int) -> DataFrame:
+    """Dealt rows (key, n) of all runs of the column ``body``, and of kind 1 how many there are; tasks add up before they send."""
+
+    def count(rows: Iterable[tuple]) -> Iterator[tuple]:
+        def sent() -> Iterator[tuple]:
+            g, n = held.pop()
+            yield 0, 1, int(n.sum()), None
+            yield from dealt(0, parts, turned(g), n)
+
+        held: list[tuple] = []
+        for group in grouped(rows, 0):
+            part = grams([t or b"" for (t,) in group])
+            if len(part[0]):
+                held.append(part)
+            if sum(len(k) for k, _ in held) >= GRAMS_HELD:
+                held = [_added(held)]
+                if len(held[0][0]) >= GRAMS_HELD // 2:
+                    yield from sent()
+        if held:
+            held = [_added(held)]
+            yield from sent()
+
+    return arrow_rows(train, count, DEALT, batch=64)
+
+
+def learn_tree(train: DataFrame) -> Tree:
+    """The suffix tree of the column ``body``.
+
+    At each depth at most ``RARE`` contexts are frequent enough, so what reaches
+    the driver is bounded by the parameters. Contexts of two symbols or more lie whole in a hash partition.
+    """
+    parts = partitions(train)
+    level = stored(count_grams(train, parts), "grams")
+    total = level.where("kind = 1").agg(F.sum("number")).first()[0] or 0
+    least = max(2, -(-total // RARE))
+
+    def frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            key, n = unpacked((packed for *_, packed in mine), 2)
+            g = turned_back(key)
+            for depth in range(DEPTH, 0, -1):
+                g, n = _added([(g & np.uint64((1 << 8 * (depth + 1)) - 1), n)])
+                real = np.ones(len(g), bool)
+                if depth > 1:
+                    first = parts_of(g >> np.uint64(8))
+                    real = np.repeat(np.add.reduceat(n, first) >= least, np.diff(np.r_[first, len(g)]))
+                columns = np.full(real.sum(), depth), g[real].view(np.int64), n[real].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["depth", "g", "n"])
+
+    runs = together(level.where("kind = 0").select("bucket", "packed"), parts // 4)
+    found = runs.mapInArrow(frequent, "depth bigint, g bigint, n bigint").groupBy("depth", "g").agg(F.sum("n").alias("n"))
+    depth, g, n = (c.to_numpy() for c in found.toArrow().columns)
+    discard(level)
+    one = depth == 1
+    last = np.bincount(g[one] & 255, n[one], 256).astype(np.int64)
+    often = np.bincount(g[one] >> 8, n[one], 256) >= least
+    keep = np.ones(len(g), bool)
+    keep[one] = often[g[one] >> 8]
+    none = np.flatnonzero(last) if total >= least else np.zeros(0, np.int64)
+    return grow_tree(
+        np.r_[depth[keep], np.zeros(len(none), np.int64)], np.r_[g[keep] >> 8, np.zeros(len(none), np.int64)],
+        np.r_[g[keep] & 255, none], np.r_[n[keep], last[none]],
+    )
+
+
+def repeated(train: DataFrame, parts: int, least: int) -> np.ndarray:
+    """The bitmap of all runs of 2 to ``WORDS`` + 1 words that may occur ``least`` times.
+
+    A run is told by its partition and the 32 bits of its hash after that; a task sends it at most ``least`` times.
     """
-    width, made = len(columns) + 1, made or {}
-    names = [*columns, *made, "n"]
+    high = np.uint64(parts.bit_length() - 1)
 
-    def sent(held: list[list[np.ndarray]]) -> Iterator[tuple]:
-        rows = _sums([list(x) for x in zip(*held)])
+    def sent(held: list[np.ndarray]) -> Iterator[tuple]:
+        h = np.concatenate(held)
         held.clear()
-        bucket = bucket_of(rows[0], parts)  # sorted keys: sorted buckets
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-            for k in range(a, b, ROW_RUNS):
-                part = slice(k, min(b, k + ROW_RUNS))
-                yield int(bucket[a]), b"".join(planes(x[part]) for x in rows)
+        h.sort()
+        h = h[np.r_[np.ones(min(least, len(h)), bool), h[least:] != h[:-least]]]  # no run more than ``least`` times
+        bucket = bucket_of(h, parts)
+        low = ((h << high) >> np.uint64(32)).astype(np.uint32)
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)]):
+            for k in range(a, b, ROW_KEYS):
+                steps = np.diff(low[k : min(b, k + ROW_KEYS)], prepend=np.uint32(0))
+                yield int(bucket[a]), steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+    def send(rows: Iterable[tuple]) -> Iterator[tuple]:
+        held, fresh = [], 0
+        for group in grouped(rows, 0):
+            held += [g for _, _, g, _ in whole_runs([t or b"" for (t,) in group], range(2, WORDS + 2))]
+            fresh += sum(len(g) for g in held[-WORDS:])
+            if fresh >= KEYS_HELD:
+                yield from sent(held)
+                fresh = 0
+        if fresh:
+            yield from sent(held)
+
+    def find(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for bucket, mine in groupby(rows, key=lambda r: r[0]):
+            steps = (np.ascontiguousarray(np.frombuffer(r, np.uint8).reshape(4, -1).T).view("<u4").ravel() for _, r in mine)
+            low = np.concatenate([np.cumsum(x, dtype=np.uint32) for x in steps])
+            low.sort()
+            often = low[least - 1 :]
+            low = often[often == low[: len(often)]].astype(np.uint64)
+            yield from slice_of(bits_of((low << np.uint64(32)) >> high | np.uint64((bucket << 64) // parts)))
+
+    keys = arrow_rows(train, send, "bucket bigint, packed binary", batch=128)
+    return bitmap_of(arrow_rows(together(keys, parts // 2), find, "at bigint, bits binary", batch=16))
+
+
+#: How many numbers dealt rows have, by kind: words (g, n), and from 2 on runs of so many words.
+WIDTHS = {1: 2} | {size: 3 for size in range(2, WORDS + 2)}
+
+
+def counted(train: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
+    """All that ``counted_share`` counts."""
+    return counted_share(train, parts, repeated(train, parts, least), least)
+
+
+def counted_share(train: DataFrame, parts: int, sieve: np.ndarray, least: int = LEAST, share: int = 0, shares: int = 1) -> DataFrame:
+    """Dealt rows (g, n) of all words, and (s, c, n) of the runs of 2 to ``WORDS`` + 1 words that occur ``least`` times.
+
+    ``c`` and ``s`` are hashes of the run without its last and without its first word; that of the run follows from them.
+    Tasks add up before they send, to the hash partition of ``c``, which adds up again. One of several shares of the partitions
+    is counted, so that what is sent need not lie on the disks all at once.
+    """
+
+    def sent(held: dict[int, list]) -> Iterator[tuple]:
+        for size, rows in held.items():
+            g, *c, n = _sums([list(x) for x in zip(*rows)])
+            yield from dealt(size, parts, *c, second_of(g, *c), n) if c else dealt(size, parts, g, n)
+            rows.clear()
 
     def count(rows: Iterable[tuple]) -> Iterator[tuple]:
-        held: list[list[np.ndarray]] = []
+        held: dict[int, list] = {size: [] for size in WIDTHS}
         fresh = 0
         for group in grouped(rows, 0):
-            held.append(_sums([[x] for x in rows_of([t or b"" for (t,) in group])]))
-            fresh += len(held[-1][0])
+            for size, at, g, runs in whole_runs([t or b"" for (t,) in group], WIDTHS):
+                if size > 1:
+                    if size > 2:  # both its parts occur so often as well
+                        real = mark[at] & mark[at + 1]
+                        at, g = at[real], g[real]
+                    real = has(sieve, bits_of(g))
+                    at, g = at[real], g[real]
+                    mark = np.zeros(len(runs[0]), bool)
+                    mark[at] = True
+                    c = runs[size - 2][at]
+                    if shares > 1:
+                        mine = bucket_of(c, shares) == share
+                        g, c = g[mine], c[mine]
+                    held[size].append([g, c, np.ones(len(g), np.uint64)])
+                else:
+                    g, n = np.unique(g[bucket_of(g, shares) == share], return_counts=True)
+                    held[size].append([g, n.astype(np.uint64)])
+                fresh += len(g)
             if fresh >= RUNS_HELD:
-                held = [_sums([list(x) for x in zip(*held)])]
-                fresh = len(held[0][0])
+                held = {size: [_sums([list(x) for x in zip(*rows)])] for size, rows in held.items()}
+                fresh = sum(len(rows[0][0]) for rows in held.values())
                 if fresh >= RUNS_HELD // 2:
                     yield from sent(held)
                     fresh = 0
-        if held:
+        if fresh:
             yield from sent(held)
 
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, fresh = None, [], 0
+    def add(words: list[np.ndarray], *runs: list[np.ndarray]) -> Iterator[tuple]:
+        yield from dealt(1, parts, *_sums([[x] for x in words]))
+        for size, (c, s, n) in enumerate(runs, 2):
+            _, c, s, n = _sums([[joined(c, s)], [c], [s], [n]])
+            real = n >= least
+            yield from dealt(size, parts, s[real], c[real], n[real])
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = _sums([list(x) for x in zip(*held)])
-                *facts, n = (x[rows[-1] >= least] for x in rows)
-                rows = [*facts, *(f(*facts) for f in made.values()), n]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in rows], names)
+    return met(arrow_rows(train, count, DEALT, batch=64), parts // shares, WIDTHS, add)
 
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if bucket != now:
-                    yield from out()
-                    now, held, fresh = bucket, [], 0
-                held.append(unplaned(np.frombuffer(packed.as_buffer(), np.uint8), width))
-                fresh += len(held[-1][0])
-                if fresh >= 4 * RUNS_HELD:
-                    held = [_sums([list(x) for x in zip(*held)])]
-                    fresh = len(held[0][0])
-        yield from out()
 
-    packed = arrow_rows(docs, count, "bucket bigint, packed binary", batch=128)
-    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(add, ", ".join(f"{c} bigint" for c in names))
+def as_rows(packed: DataFrame, width: int, columns_of: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """Dealt rows as plain ones, of what ``columns_of`` makes of their columns."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns_of(*unpacked([row], width))], names)
 
-def count_words(train: DataFrame, parts: int) -> DataFrame:
-    """(g, n) of all words, and of the start and the end of texts."""
+    return packed.select("packed").mapInArrow(run, schema)
 
-    def rows_of(texts: list[bytes]) -> list[np.ndarray]:
-        _, _, (words,) = word_runs(texts, 1)
-        return [words, np.ones(len(words), np.uint64)]
 
-    return _added_up(train, ["g"], rows_of, parts)
+def count_runs(train: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
+    """(g, c, s, n) of all runs of 2 to ``WORDS`` + 1 words that occur ``least`` times."""
+    return as_rows(
+        counted(train, parts, least).where("kind > 1"), 3,
+        lambda s, c, n: [x.view(np.int64) for x in (joined(c, s), c, s, n)], "g bigint, c bigint, s bigint, n bigint",
+    )
 
 
-def count_runs(train: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
-    """(size, g, c, s, n) of all runs of 2 to ``WORDS`` + 1 words that occur ``least`` times.
+def level_of(known: DataFrame, runs: DataFrame, parts: int) -> DataFrame:
+    """Dealt rows of the runs of one size: of kind 0 (g, n, p), and of kind 1 what they add to the tree, (g, x, c, n).
 
-    ``g``, ``c`` and ``s`` are hashes of the run, and of it without its last and without its first word.
+    ``known`` has the (g, n, p) of the runs that are a word shorter. The runs (s, c, n) meet those of their suffix,
+    then those of their context, together with all other runs of that context.
     """
-    kept = stored(survivors(summaries(train, parts, run_hashes), parts, least), "survivors")
-    sieve = sieve_of(kept, "bit")
-    discard(kept)
-
-    def rows_of(texts: list[bytes]) -> list[np.ndarray]:
-        found: list[list[np.ndarray]] = []
-        for size, at, g, runs in whole_runs(texts, range(2, WORDS + 2)):
-            real = has(sieve, bit_of(bucket_of(g, parts), g & _LOW))
-            at, g = at[real], g[real]
-            found.append([g, np.full(len(g), size, np.uint64), runs[size - 2][at], np.ones(len(g), np.uint64)])
-        return [np.concatenate(x) for x in zip(*found)]
 
-    return _added_up(train, ["g", "size", "c"], rows_of, parts, least, {"s": lambda g, size, c: second_of(g, c)})
+    def suffix(known: list[np.ndarray], runs: list[np.ndarray]) -> Iterator[tuple]:
+        (g, n, p), (s, c, times) = known, runs
+        order = np.argsort(g)
+        yield from dealt(1, parts, c, s, times, p[order][np.searchsorted(g, s, sorter=order)])
+        yield from dealt(0, parts, g, n)
+
+    def context(known: list[np.ndarray], runs: list[np.ndarray]) -> Iterator[tuple]:
+        (g, t), (c, s, n, q) = known, runs
+        if not len(c):
+            return
+        order = np.argsort(c)
+        c, s, n, q = c[order], s[order], n[order].astype(np.float64), q.view(np.float64)[order]
+        first = parts_of(c)
+        k = np.diff(np.r_[first, len(c)])
+        order = np.argsort(g)
+        t = t[order][np.searchsorted(g, c[first], sorter=order)]
+        rest = t - np.add.reduceat(n, first)  # times that it goes on with runs which are not counted
+        left = (rest + k) / (t + k)
+        all_left = np.repeat(left, k)
+        r = n / np.repeat(t + k, k) + all_left * q
+        kept = np.add.reduceat(n * np.log(r / q), first) + rest * np.log(left) >= TEST * k
+        mine = np.repeat(kept, k)
+        g, n = joined(c, s), n.astype(np.uint64)
+        yield from dealt(0, parts, g, n, np.where(mine, r, q))
+        x = np.r_[np.log10(r[mine] / (all_left[mine] * q[mine])), np.log10(left[kept])]
+        yield from dealt(1, parts, np.r_[g[mine], c[first][kept]], x, np.zeros(len(x), np.uint64), np.r_[n[mine], t[kept]])
+
+    both = known.select("bucket", F.lit(0).alias("kind"), "number", "packed").union(
+        runs.select("bucket", F.lit(1).alias("kind"), "number", "packed")
+    )
+    return met(met(both, parts // 4, {0: 3, 1: 3}, suffix), parts // 4, {0: 2, 1: 4}, context)
 
 
-def learn_words(train: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(g, x, c, n) of words and runs in the tree, and occurrences and number of all words and ends, and of texts.
+def learned(train: DataFrame) -> tuple[DataFrame, int, int, int, int]:
+    """Dealt rows (g, x, c, n) of words and runs in the tree; occurrences and number of all words and ends; texts; partitions.
 
     The log10 probability of a text is the sum of ``x`` over its words and all their runs.
     ``x`` of a run has what its last word gains by being in the run, and what the run as a context leaves to its suffix.
-    ``c`` is the count of a word or end, and null for runs; ``n`` the greatest count of a row.
+    ``c`` is the count of a word or end, and 0 for runs; ``n`` the greatest count of a row, its doubling the kind.
     """
-    start = int(np.uint64(START_WORD).view(np.int64))
-    parts_of = partitions(train)
-    words = stored(count_words(train, parts_of), "words")
-    total, kinds = words.where(F.col("g") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    texts = words.where(F.col("g") == start).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    all_runs = stored(count_runs(train, parts_of), "runs")
-    level = words.select("g", "n", (F.col("n") / F.lit(float(max(1, total + kinds)))).alias("p"))
-    x = F.when(F.col("g") == start, 0.0).otherwise(F.log10("p")).alias("x")
-    parts = [level.select("g", x, F.when(F.col("g") != start, F.col("n")).alias("c"), "n")]
-    none, made = F.lit(None).cast("bigint").alias("c"), [words, all_runs]
+    parts = partitions(train)
+    sieve = repeated(train, parts, LEAST)
+    made = [stored(counted_share(train, parts, sieve, LEAST, k, SHARES), "counts") for k in range(SHARES)]
+    counts = made[0]
+    for more in made[1:]:
+        counts = counts.union(more)
+
+    def plain(packed: Iterable[tuple]) -> Iterator[tuple]:
+        g, n = unpacked((p for (p,) in packed), 2)
+        start = g == START_WORD
+        yield int(n[~start].sum()), int((~start).sum()), int(n[start].sum())
+
+    words = counts.where("kind = 1")
+    sizes = arrow_rows(words.select("packed"), plain, "total bigint, kinds bigint, texts bigint")
+    total, kinds, texts = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in sizes.columns)).first()
+
+    def shares(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for bucket, kind, number, packed in rows:
+            g, n = unpacked([packed], 2)
+            yield bucket, kind, number, packed_of(g, n, n / float(max(1, total + kinds)))
+
+    level = arrow_rows(words, shares, DEALT, batch=64)
+    new = []
     for size in range(2, WORDS + 2):
-        runs = all_runs.where(F.col("size") == size)
-        # of each context: how often it occurs, how many runs go on from it, and how often they do
-        facts = runs.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m"))
-        facts = facts.join(level.select(F.col("g").alias("c"), F.col("n").alias("t")), "c")
-        left = (F.col("t") - F.col("m") + F.col("k")) / (F.col("t") + F.col("k"))
-        short = level.select(F.col("g").alias("s"), F.col("p").alias("q"))
-        given = runs.join(short, "s").join(facts.withColumn("left", left), "c")
-        given = stored(given.withColumn("r", F.col("n") / (F.col("t") + F.col("k")) + F.col("left") * F.col("q")), "given")
-        gain = F.sum(F.col("n") * F.log(F.col("r") / F.col("q"))) + F.first((F.col("t") - F.col("m")) * F.log("left"))
-        kept = given.groupBy("c").agg(gain.alias("gain"), F.first("k").alias("k"), F.first("left").alias("left"), F.first("t").alias("t"))
-        kept = stored(kept.where(F.col("gain") >= TEST * F.col("k")).select("c", "left", "t"), "kept")
-        both = given.drop("left", "t").join(kept, "c", "left")
-        level = stored(both.select("g", "n", F.when(F.col("left").isNotNull(), F.col("r")).otherwise(F.col("q")).alias("p"),
-            F.when(F.col("left").isNotNull(), F.log10(F.col("r") / (F.col("left") * F.col("q")))).alias("x")), "level")
-        parts += [level.where("x is not null").select("g", "x", none, "n"),
-            kept.select(F.col("c").alias("g"), F.log10("left").alias("x"), none, F.col("t").alias("n"))]
-        discard(given)
-        made += [kept, level]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.union(part)
-    table = stored(table.groupBy("g").agg(F.sum("x").alias("x"), F.max("c").alias("c"), F.max("n").alias("n")), "tree")
+        made.append(stored(level_of(level, counts.where(F.col("kind") == size), parts), "level"))
+        level = made[-1].where("kind = 0")
+        new.append(made[-1].where("kind = 1"))
+
+    def tree(words: list[np.ndarray], new: list[np.ndarray]) -> Iterator[tuple]:
+        g, n = words
+        c = np.where(g == START_WORD, np.uint64(0), n)
+        x = np.where(g == START_WORD, 0.0, np.log10(n / float(max(1, total + kinds))))
+        g, x, c, n = (np.r_[a, b] for a, b in zip((g, x, c, n), (new[0], new[1].view(np.float64), *new[2:])))
+        order = np.argsort(g, kind="stable")
+        g, x, c, n = g[order], x[order], c[order], n[order]
+        first = parts_of(g)
+        if len(first):
+            g, x, c, n = g[first], np.add.reduceat(x, first), np.maximum.reduceat(c, first), np.maximum.reduceat(n, first)
+        doubling = np.frexp(n.astype(np.float64))[1] - 1
+        for d in np.unique(doubling).tolist():
+            mine = doubling == d
+            yield from dealt(d, parts, g[mine], x[mine], c[mine], n[mine])
+
+    both = words.select("bucket", F.lit(0).alias("kind"), "number", "packed")
+    for rows in new:
+        both = both.union(rows)
+    table = stored(met(both, parts // 2, {0: 2, 1: 4}, tree), "tree")
     for done in made:
         discard(done)
-    return table, total, kinds, texts
+    return table, total, kinds, texts, parts
+
+
+def learn_words(train: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(g, x, c, n) of words and runs in the tree, as ``learned`` tells them, and occurrences and number of words, and of texts."""
+    table, total, kinds, texts, _ = learned(train)
 
+    def plain(g: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        return [g.view(np.int64), x.view(np.float64), c.view(np.int64), n.view(np.int64)]
 
-def head_of(table: DataFrame) -> tuple[int, pa.Table]:
-    """(least, rows): rows of counts from ``least`` on, at most ``HEAD`` of them."""
-    level = F.floor(F.log2("n")).cast("int")
-    sizes = dict(table.groupBy(level.alias("b")).count().collect())  # one row for each doubling
-    held, least = 0, 1 << (max(sizes, default=0) + 1)
-    for b in sorted(sizes, reverse=True):
-        held += sizes[b]
+    return as_rows(table, 4, plain, "g bigint, x double, c bigint, n bigint"), total, kinds, texts
+
+
+def head_of(table: DataFrame) -> tuple[int, list[np.ndarray]]:
+    """(least, (g, x, c)): the rows whose doubling is ``least`` or more, at most ``HEAD`` of them."""
+    sizes = dict(table.groupBy("kind").agg(F.sum("number")).collect())  # one row for each doubling
+    held, least = 0, max(sizes, default=0) + 1
+    for d in sorted(sizes, reverse=True):
+        held += sizes[d]
         if held > HEAD:
             break
-        least = 1 << b
-    return least, table.where(F.col("n") >= least).select("g", "x", "c").toArrow()
+        least = d
+    rows = table.where(F.col("kind") >= least).select("packed").toArrow()["packed"]
+    g, x, c, _ = unpacked((r.as_buffer() for r in rows), 4)
+    order = np.argsort(g)
+    return least, [g[order], x.view(np.float64)[order], c[order].astype(np.float64)]
+
+
+def bits_in(tail: DataFrame) -> np.ndarray:
+    """The bitmap of the keys of dealt rows (g, x, c, n)."""
+
+    def run(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            yield from slice_of(bits_of(unpacked((p for _, p in mine), 4)[0]))
+
+    return bitmap_of(arrow_rows(tail.select("bucket", "packed"), run, "at bigint, bits binary", batch=16))
 
 
 def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -502,42 +737,43 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = docs.sparkSession
     with shuffles_dropped(spark):
         tree = learn_tree(train)
-        table, n, v, n_docs = learn_words(train)  # ends are words here, starts are none
+        table, n, v, _, parts = learned(train)  # ends are words here, starts are none
         unseen = math.log10(v / (n + v)) if n else 0.0
         low = math.log10(n + v + 1)
-        least, common = head_of(table)
-        known_g = common["g"].to_numpy().view(np.uint64)
-        order = np.argsort(known_g)
-        known_g = np.r_[known_g[order], np.uint64((1 << 64) - 1)]
-        known_x = np.r_[common["x"].to_numpy()[order], 0.0]
-        count = np.nan_to_num(common["c"].to_numpy(zero_copy_only=False).astype(float))[order]
-        known_c = np.r_[count, 0.0]
-        here = np.zeros(1 << (BITS - 3), np.uint8)  # the bitmap of the common rows
-        bit = bits_of(known_g[:-1])
-        np.bitwise_or.at(here, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
-        tail = table.where(F.col("n") < least)
-        rest = sieve_of(tail.select(F.shiftrightunsigned("g", 64 - BITS).alias("bit")), "bit")
-
-    def asked(texts: list[bytes], machine: Automaton) -> tuple[np.ndarray, list[list[tuple]]]:
-        """Tokens, known ones, base and score of each text from the common rows; the others, with what they give if they are in no table."""
+        least, (known_g, known_x, known_c) = head_of(table)
+        known_g, known_x, known_c = np.r_[known_g, np.uint64((1 << 64) - 1)], np.r_[known_x, 0.0], np.r_[known_c, 0.0]
+        shelf = np.searchsorted(known_g[:-1], np.arange(1 << SHELF, dtype=np.uint64) << np.uint64(64 - SHELF)).astype(np.int32)
+        tail = table.where(F.col("kind") < least)
+        rest = bits_in(tail)
+
+    def asked(texts: list[bytes], machine: Automaton) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Tokens, known ones, base and score of each text from the common rows; the others: hash, text, twice how often, and 1 more
+        for a word, and what they give if they are in no table."""
         doc, place, runs = word_runs(texts, WORDS + 1)
-        words, ends = machine.spelled(texts)
         miss = np.full(len(doc), unseen)
-        miss[place >= 0] += words
-        miss[place == -2] += ends
         miss[place == -1] = 0.0
         sums = np.zeros((4, len(texts)))
         sums[0] = np.bincount(doc[place != -1], minlength=len(texts))
         far = []
         for k, run in enumerate(runs):
             at = np.flatnonzero(doc[: len(run)] == doc[k:])
-            hit = has(here, bits_of(run[at]))
-            g = run[at[hit]]
-            known = np.searchsorted(known_g, g)
-            same = known_g[known] == g
-            hit[hit], known = same, known[same]
+            g = run[at]
+            known = shelf[g >> np.uint64(64 - SHELF)]
+            late = np.flatnonzero(known_g[known] < g)
+            while len(late):
+                known[late] += 1
+                late = late[known_g[known[late]] < g[late]]
+            hit = known_g[known] == g
+            known = known[hit]
             sums[3] += np.bincount(doc[at[hit]], known_x[known], len(texts))
             lost = at[~hit]
+            if k == 0:  # only words that are not common need be spelled
+                strange = place[lost] >= 0
+                chosen = np.zeros(int(place.max(initial=-1)) + 1, bool)
+                chosen[place[lost[strange]]] = True
+                words, ends = machine.spelled(texts, chosen)
+                miss[lost[strange]] += words
+                miss[place == -2] += ends
             maybe = has(rest, bits_of(run[lost]))
             if k == 0:
                 token = place[at[hit]] != -1
@@ -550,40 +786,90 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
             lost = lost[maybe]
             far.append((doc[lost], run[lost], miss[lost] * (k == 0), (place[lost] != -1) & (k == 0)))
         at, g, gives, word = (np.concatenate(x) for x in zip(*far))
-        order = np.lexsort((g, at))
+        order = np.lexsort((at, g))
         at, g, gives, word = at[order], g[order], gives[order], word[order]
         first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (g[1:] != g[:-1])][: len(g)])
         number = np.diff(np.r_[first, len(g)])
         gives = np.add.reduceat(gives, first) if len(first) else gives
-        rows = list(zip(g[first].view(np.int64).tolist(), number.tolist(), gives.tolist(), word[first].tolist()))
-        cuts = np.searchsorted(at[first], np.arange(len(texts) + 1)).tolist()
-        return sums, [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+        return sums, [g[first], at[first], 2 * number + word[first], gives]
+
+    about = pa.schema([
+        ("doc_id", to_arrow_schema(whole.schema).field("doc_id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+    ])
 
     def score(rows: Iterable[tuple]) -> Iterator[tuple]:
+        """In chunks of many texts what these ask of the tail (kind 1), and what is known of them (2)."""
         machine = automaton_of(tree)
+        chunk, texts, far, fresh = TaskContext.get().partitionId() * CHUNKS, [], [], 0
+
+        def sent() -> Iterator[tuple]:
+            for bucket, kind, _, packed in dealt(1, parts, *(np.concatenate(x) for x in zip(*far))):
+                yield bucket, kind, chunk, packed
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*texts), about.types)], schema=about)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, about) as stream:
+                stream.write_batch(batch)
+            yield chunk % parts, 2, chunk, sink.getvalue().to_pybytes()
+
         for group in grouped(rows, 2):
-            sums, far = asked([r[2] or b"" for r in group], machine)
-            for (doc, held, _), (tokens, found, base, logp), more in zip(group, sums.T.tolist(), far):
-                yield doc, held, int(tokens), int(found), base, logp, more
+            sums, (g, at, *more) = asked([r[2] or b"" for r in group], machine)
+            far.append([g, at + len(texts), *more])
+            fresh += len(g) + len(group)
+            for (doc, held, _), (tokens, found, base, logp) in zip(group, sums.T.tolist()):
+                texts.append((doc, held, int(tokens), int(found), base, logp))
+            if fresh >= ASKED_HELD:
+                yield from sent()
+                chunk, texts, far, fresh = chunk + 1, [], [], 0
+        if texts:
+            yield from sent()
+
+    def answer(rows: Iterable[tuple]) -> Iterator[tuple]:
+        """What the tail of each hash partition gives the texts of a chunk; texts go through."""
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            known_g, known_x, known_c = np.array([(1 << 64) - 1], np.uint64), np.zeros(1), np.zeros(1)
+            for (kind, chunk), some in groupby(mine, key=lambda r: r[1:3]):
+                some = (packed for *_, packed in some)
+                if kind == 2:
+                    yield from ((chunk, kind, packed) for packed in some)
+                    continue
+                g, *columns = unpacked(some, 4)
+                if kind == 0:
+                    order = np.argsort(g)
+                    known_g = np.r_[g[order], known_g]
+                    known_x, known_c = (np.r_[c.view(t)[order], 0.0] for c, t in zip(columns, (np.float64, np.int64)))
+                    continue
+                at, number, gives = columns
+                number, word = (number >> np.uint64(1)).astype(np.float64), (number & np.uint64(1)).astype(bool)
+                place = np.searchsorted(known_g, g)
+                real = known_g[place] == g
+                count = np.where(real, known_c[place], 0.0)
+                texts, at = np.unique(at, return_inverse=True)
+                sums = (
+                    number * (word & (count > 0)), np.where(word, number * (np.log10(count + 1) - low), 0.0),
+                    np.where(real, number * known_x[place], gives.view(np.float64)),
+                )
+                yield chunk, kind, packed_of(texts, *(np.bincount(at, x, len(texts)) for x in sums))
 
-    schema = (
-        f"doc_id {whole.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, found bigint, "
-        "base double, score double, rest array<struct<g:bigint,k:bigint,e:double,w:boolean>>"
-    )
-    scored = arrow_rows(whole, score, schema, batch=256).withColumn("row", F.monotonically_increasing_id())
-    with shuffles_dropped(spark):
-        scored = stored(scored, "scored")
-    asked_for = scored.select("row", F.explode("rest").alias("a")).select("row", "a.*")
-    met = asked_for.join(tail.select("g", "x", "c"), "g", "left")
-    more = met.groupBy("row").agg(
-        F.sum(F.when(F.col("w") & F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more"),
-        F.sum(F.when(F.col("w"), F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - low)).otherwise(0.0)).alias("part"),
-        F.sum(F.coalesce(F.col("k") * F.col("x"), F.col("e"))).alias("far"),
-    )
-    return scored.drop("rest").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("found") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("part", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"),
-    )
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            *answers, (_, _, texts) = mine
+            columns = pa.ipc.open_stream(texts).read_all().combine_chunks()
+            at, *more = unpacked((packed for *_, packed in answers), 4)
+            more, part, far = (np.bincount(at.astype(np.int64), x.view(np.float64), len(columns)) for x in more)
+            known, base, logp = (columns[c].to_numpy() for c in ("n_known", "base_score", "score"))
+            yield pa.RecordBatch.from_arrays([
+                *(columns[c].combine_chunks() for c in ("doc_id", "held_out", "n_tokens")),
+                pa.array(known + more.astype(np.int64)), pa.array(np.full(len(columns), n)), pa.array(base + part), pa.array(logp + far),
+            ], [f.name for f in result])
+
+    result = StructType([
+        whole.schema["doc_id"], whole.schema["held_out"], *(StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
+        StructField("base_score", DoubleType()), StructField("score", DoubleType()),
+    ])
+    asking = arrow_rows(whole, score, "bucket bigint, kind int, chunk bigint, packed binary", batch=64)
+    known = tail.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("chunk"), "packed")
+    asking = together(known.union(asking), parts, "bucket", "kind", "chunk")
+    answers = arrow_rows(asking, answer, "chunk bigint, kind int, packed binary", batch=64)
+    return together(answers, parts // 2, "chunk", "kind").mapInArrow(add, result)

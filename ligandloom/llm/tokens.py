@@ -43,26 +43,42 @@ class Tokens(NamedTuple):
     offsets: np.ndarray  # first byte of each text, and the number of bytes at the end
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of ``_STEP`` and of its inverse, ``n`` at least; those for a usual group of texts are kept."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS
+    size = max(n, 2 * GROUP_BYTES)
+    steps = _STEP, np.uint64(pow(int(_STEP), -1, 1 << 64))
+    made = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in steps]
+    if size == 2 * GROUP_BYTES:
+        _POWERS[:] = made
+    return made
+
+
 def tokenise(texts: list[bytes], lower: bool = True) -> Tokens:
     data = np.frombuffer(b" ".join([*texts, b""]) or b" ", np.uint8)
     if lower:
         data = LOWER[data]
     offsets = np.r_[0, np.cumsum([len(t) + 1 for t in texts])].astype(np.int64) if texts else np.zeros(1, np.int64)
     word = ~SPACE[data]
-    edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        edges = np.r_[0, edges]
+    starts, ends = edges[::2].copy(), edges[1::2].copy()  # the last byte is a space
     first = np.searchsorted(starts, offsets)
     if not len(starts):
         return Tokens(data, starts, ends, np.empty(0, np.uint64), first, offsets)
-    longest = int((ends - starts).max())
-    power = np.cumprod(np.r_[np.uint64(1), np.full(longest, _STEP)].astype(np.uint64))
-    value = _BYTE[data]
-    at = np.flatnonzero(word)
-    lengths = ends - starts
-    begin = np.cumsum(lengths) - lengths
-    inside = np.arange(len(at)) - np.repeat(begin, lengths)
-    hashes = np.add.reduceat(value[at] * power[inside], begin)
-    return Tokens(data, starts, ends, mix(hashes + lengths.astype(np.uint64)), first, offsets)
+    # a word's sum of byte * step^place, counted from its start: a difference of running sums, divided by a power
+    up, down = _powers(len(data))
+    sums = _BYTE[data]
+    sums *= up[: len(data)]
+    np.cumsum(sums, out=sums)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    hashes = (sums[ends - 1] - before) * down[starts]
+    return Tokens(data, starts, ends, mix(hashes + (ends - starts).astype(np.uint64)), first, offsets)
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
