@@ -590,8 +590,8 @@ def count_runs(train: DataFrame, parts: int, least: int = LEAST) -> DataFrame:
     )
 
 
-def level_of(known: DataFrame, runs: DataFrame, parts: int) -> DataFrame:
-    """Dealt rows of the runs of one size: of kind 0 (g, n, p), and of kind 1 what they add to the tree, (g, x, c, n).
+def level_of(known: DataFrame, runs: DataFrame, parts: int, last: bool = False) -> DataFrame:
+    """Dealt rows of the runs of one size: of kind 0, but for the last size, (g, n, p), and of kind 1 what they add to the tree, (g, x, c, n).
 
     ``known`` has the (g, n, p) of the runs that are a word shorter. The runs (s, c, n) meet those of their suffix,
     then those of their context, together with all other runs of that context.
@@ -620,7 +620,8 @@ def level_of(known: DataFrame, runs: DataFrame, parts: int) -> DataFrame:
         kept = np.add.reduceat(n * np.log(r / q), first) + rest * np.log(left) >= TEST * k
         mine = np.repeat(kept, k)
         g, n = joined(c, s), n.astype(np.uint64)
-        yield from dealt(0, parts, g, n, np.where(mine, r, q))
+        if not last:
+            yield from dealt(0, parts, g, n, np.where(mine, r, q))
         x = np.r_[np.log10(r[mine] / (all_left[mine] * q[mine])), np.log10(left[kept])]
         yield from dealt(1, parts, np.r_[g[mine], c[first][kept]], x, np.zeros(len(x), np.uint64), np.r_[n[mine], t[kept]])
 
@@ -649,7 +650,7 @@ def learned(train: DataFrame) -> tuple[DataFrame, int, int, int, int]:
         start = g == START_WORD
         yield int(n[~start].sum()), int((~start).sum()), int(n[start].sum())
 
-    words = counts.where("kind = 1")
+    words = stored(counts.where("kind = 1"), "words")
     sizes = arrow_rows(words.select("packed"), plain, "total bigint, kinds bigint, texts bigint")
     total, kinds, texts = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in sizes.columns)).first()
 
@@ -659,11 +660,12 @@ def learned(train: DataFrame) -> tuple[DataFrame, int, int, int, int]:
             yield bucket, kind, number, packed_of(g, n, n / float(max(1, total + kinds)))
 
     level = arrow_rows(words, shares, DEALT, batch=64)
-    new = []
+    levels: list[DataFrame] = []
     for size in range(2, WORDS + 2):
-        made.append(stored(level_of(level, counts.where(F.col("kind") == size), parts), "level"))
-        level = made[-1].where("kind = 0")
-        new.append(made[-1].where("kind = 1"))
+        levels.append(stored(level_of(level, counts.where(F.col("kind") == size), parts, size == WORDS + 1), "level"))
+        level = levels[-1].where("kind = 0")
+    for done in made:
+        discard(done)
 
     def tree(words: list[np.ndarray], new: list[np.ndarray]) -> Iterator[tuple]:
         g, n = words
@@ -681,10 +683,10 @@ def learned(train: DataFrame) -> tuple[DataFrame, int, int, int, int]:
             yield from dealt(d, parts, g[mine], x[mine], c[mine], n[mine])
 
     both = words.select("bucket", F.lit(0).alias("kind"), "number", "packed")
-    for rows in new:
-        both = both.union(rows)
+    for rows in levels:
+        both = both.union(rows.where("kind = 1"))
     table = stored(met(both, parts // 2, {0: 2, 1: 4}, tree), "tree")
-    for done in made:
+    for done in (words, *levels):
         discard(done)
     return table, total, kinds, texts, parts
 
