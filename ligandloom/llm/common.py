@@ -30,11 +30,12 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def arrow_rows(
-    df: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[tuple]], schema: str, batch: int = 4096
+    df: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[tuple]], schema: str, batch: int = 4096, taken: int | None = None
 ) -> DataFrame:
     """``mapInArrow`` over plain tuples: ``fn`` turns a partition's rows into rows of ``schema``.
 
     Rows leave in batches of ``batch``, so a partition is never held as a whole.
+    ``taken`` is how many come in as Python objects at once: all that Spark sends together if None.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -44,7 +45,8 @@ def arrow_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+                for k in range(0, b.num_rows, taken or max(1, b.num_rows)):
+                    yield from zip(*(c.to_pylist() for c in b.slice(k, taken).columns), strict=True)
 
         held: list[tuple] = []
         for row in fn(rows()):

@@ -3,10 +3,12 @@
 Words. The training documents' words are counted exactly in a distributed table, which the base and the model share.
 
 Model. A suffix tree over words, whose contexts are up to ``WORDS`` words; a text begins and ends with a word
-of its own. Every run of words that the training documents hold ``LEAST`` times is counted, whatever their size. Merged Misra-Gries summaries name the runs that may be so frequent, a second scan counts these exactly. A
+of its own. Every run of words that the training documents hold ``LEAST`` times is counted, whatever their size. Tasks send each run's partition
+and the next 32 bits of its hash; what comes twice makes a bitmap, and a second scan counts exactly what that lets through. A
 context enters the tree if its next words diverge enough from what its longest suffix foretells. Distributions are
 smoothed with that suffix's, down to the word counts. The logarithm of a probability is a sum over the runs that end at a
-word. The ``HEAD`` most frequent words and runs are looked up inside the tasks; the others are met by one join on hashes.
+word. The ``HEAD`` most frequent words and runs are looked up inside the tasks; the others in their hash partitions. What
+meets there are numbers packed many in a row, in the order of their hashes.
 A bitmap of fixed size keeps at home what is not in the tables; where it is full, more travels, with the same result.
 
 Spelling. What the words leave to unseen ones is shared out by a tree over the UTF-8 bytes of the lower-cased words with
@@ -55,8 +57,9 @@ PART = 8 << 20
 #: The runs are counted in so many steps, one after the other.
 SHARES = 2
 #: Numbers that a task holds before it sends, and numbers of a row it sends.
-GRAMS_HELD, KEYS_HELD, RUNS_HELD, ASKED_HELD = 2_000_000, 2_000_000, 1_500_000, 500_000
+GRAMS_HELD, KEYS_HELD, RUNS_HELD, ASKED_HELD = 2_000_000, 2_000_000, 1_000_000, 250_000
 ROW_KEYS, ROW_RUNS = 16_384, 4096
+TAKEN = 256  # texts that a task has as Python objects at once
 
 
 def stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +179,8 @@ class Automaton:
                 spread[k] = _smoothed(spread[k], tree.next[lo:hi], tree.count[lo:hi])
             for symbol, child in children.get((d, c), ()):
                 step[k, symbol] = child
-        self.step, self.spread = (step * width).ravel(), np.log10(spread).ravel()
+        step *= width
+        self.step, self.spread = step.ravel(), np.log10(spread, out=spread).ravel()
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text."""
@@ -418,7 +422,7 @@ def count_grams(train: DataFrame, parts: int) -> DataFrame:
             held = [_added(held)]
             yield from sent()
 
-    return arrow_rows(train, count, DEALT, batch=64)
+    return arrow_rows(train, count, DEALT, batch=64, taken=TAKEN)
 
 
 def learn_tree(train: DataFrame) -> Tree:
@@ -502,7 +506,7 @@ def repeated(train: DataFrame, parts: int, least: int) -> np.ndarray:
             low = often[often == low[: len(often)]].astype(np.uint64)
             yield from slice_of(bits_of((low << np.uint64(32)) >> high | np.uint64((bucket << 64) // parts)))
 
-    keys = arrow_rows(train, send, "bucket bigint, packed binary", batch=128)
+    keys = arrow_rows(train, send, "bucket bigint, packed binary", batch=128, taken=TAKEN)
     return bitmap_of(arrow_rows(together(keys, parts // 2), find, "at bigint, bits binary", batch=16))
 
 
@@ -567,7 +571,7 @@ def counted_share(train: DataFrame, parts: int, sieve: np.ndarray, least: int =
             real = n >= least
             yield from dealt(size, parts, s[real], c[real], n[real])
 
-    return met(arrow_rows(train, count, DEALT, batch=64), parts // shares, WIDTHS, add)
+    return met(arrow_rows(train, count, DEALT, batch=64, taken=TAKEN), parts // shares, WIDTHS, add)
 
 
 def as_rows(packed: DataFrame, width: int, columns_of: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
@@ -870,7 +874,7 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         whole.schema["doc_id"], whole.schema["held_out"], *(StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
         StructField("base_score", DoubleType()), StructField("score", DoubleType()),
     ])
-    asking = arrow_rows(whole, score, "bucket bigint, kind int, chunk bigint, packed binary", batch=64)
+    asking = arrow_rows(whole, score, "bucket bigint, kind int, chunk bigint, packed binary", batch=64, taken=TAKEN)
     known = tail.select("bucket", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("chunk"), "packed")
     asking = together(known.union(asking), parts, "bucket", "kind", "chunk")
     answers = arrow_rows(asking, answer, "chunk bigint, kind int, packed binary", batch=64)
