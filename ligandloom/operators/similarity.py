@@ -2,8 +2,8 @@
 
 Finding the nearest of m references means comparing with all m, so the work is
 rows x m by nature. The library is never shuffled or copied: the references are
-walked in chunks of bounded size, each sent to every task once, and a row
-carries its best so far from chunk to chunk. Any number of references, and any
+walked in chunks of bounded size, sent to every task once, small ones together,
+and a row carries its best so far from chunk to chunk. Any number of references, and any
 repeated or missing keys, take the same way and give the same rows.
 
 Bits are packed to 64-bit words and compared with numpy's population count. A
@@ -14,7 +14,8 @@ whole bands of references of another size are passed over.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from ligandloom.functions.fingerprints import tanimoto
 from ligandloom.operators import ranks
 from ligandloom.session import settle, spread
 
-#: Bytes of one chunk of references, and how many chunks are walked before the rows so far are written.
+#: Bytes of references that are sent at once, as one chunk or many small ones, and how often that is done before the rows
+#: so far are written.
 CHUNK_BYTES = 64 << 20
 CHUNKS_AT_ONCE = 4
 #: References and rows compared at once: few enough that their pairs stay in the cache of a core, and that the rows
@@ -68,6 +70,24 @@ def _shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return out
 
 
+class References(NamedTuple):
+    """Reference sets made ready to meet rows: bands of like size, with their columns of words."""
+
+    n_ref: np.ndarray
+    bands: list[np.ndarray]
+    words: list[np.ndarray]
+    low: np.ndarray
+    high: np.ndarray
+
+
+def references_of(ref: np.ndarray) -> References:
+    n_ref = np.bitwise_count(ref).sum(axis=1, dtype=np.int32)
+    by_size = np.argsort(n_ref, kind="stable")
+    bands = [np.sort(by_size[at : at + BAND]) for at in range(0, len(ref), BAND)]
+    low, high = (np.array([f(n_ref[b]) for b in bands]) for f in (np.min, np.max))
+    return References(n_ref, bands, [np.ascontiguousarray(ref[b].T) for b in bands], low, high)
+
+
 def best_match(
     lib: np.ndarray, ref: np.ndarray, best: np.ndarray | None = None, limit: float = np.inf
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +96,35 @@ def best_match(
     With ``best``, the similarities so far, only higher ones count; the pick
     of a row that has none is -1. A row found above ``limit`` is not searched further.
     """
+    return best_of_chunks(lib, [references_of(ref)], best, limit)
+
+
+def best_of_chunks(
+    lib: np.ndarray, chunks: Sequence[References], best: np.ndarray | None = None, limit: float = np.inf
+) -> tuple[np.ndarray, np.ndarray]:
+    """``best_match`` with the references of some chunks, which are numbered on from chunk to chunk."""
     sims = np.full(len(lib), -1.0) if best is None else best.copy()
     picks = np.full(len(lib), -1, dtype=np.int64)
     n_lib = np.bitwise_count(lib).sum(axis=1, dtype=np.int32)
-    n_ref = np.bitwise_count(ref).sum(axis=1, dtype=np.int32)
-    by_size = np.argsort(n_ref, kind="stable")
-    bands = [np.sort(by_size[at : at + BAND]) for at in range(0, len(ref), BAND)]
-    words = [np.ascontiguousarray(ref[b].T) for b in bands]
-    low, high = (np.array([f(n_ref[b]) for b in bands]) for f in (np.min, np.max))
     rows_by_size = np.argsort(n_lib, kind="stable")
-    for at in range(0, len(lib), ROWS_AT_ONCE):
-        rows = rows_by_size[at : at + ROWS_AT_ONCE]
+    before = 0
+    for chunk in chunks:
+        found = np.full(len(lib), -1, dtype=np.int64)
+        _meet(lib, n_lib, rows_by_size, chunk, sims, found, limit)
+        better = found >= 0
+        picks[better] = found[better] + before
+        before += len(chunk.n_ref)
+    return sims, picks
+
+
+def _meet(
+    lib: np.ndarray, n_lib: np.ndarray, rows_by_size: np.ndarray, chunk: References, sims: np.ndarray, picks: np.ndarray, limit: float
+) -> None:
+    """Raise ``sims`` of the rows that have a closer reference in the chunk, and set their ``picks``, -1 before."""
+    n_ref, bands, words, low, high = chunk
+    at_once = max(ROWS_AT_ONCE, ROWS_AT_ONCE * BAND // max(1, len(n_ref)))  # as many pairs with few references
+    for at in range(0, len(lib), at_once):
+        rows = rows_by_size[at : at + at_once]
         lo, hi = int(n_lib[rows[0]]), int(n_lib[rows[-1]])
         reach = _ceiling(lo, hi, low, high)
         for k in np.argsort(-reach, kind="stable").tolist():
@@ -100,15 +138,19 @@ def best_match(
             sim = shared / np.maximum(joint, 1)
             if not lo and not low[k]:
                 sim[joint == 0] = 1.0
-            found, first = sim.max(axis=1), band[sim.argmax(axis=1)]
+            first = sim.argmax(axis=1)
+            found, first = sim[np.arange(len(sim)), first], band[first]
             old = picks[open_rows]
             better = (found > sims[open_rows]) | ((found == sims[open_rows]) & (old >= 0) & (first < old))
             sims[open_rows[better]], picks[open_rows[better]] = found[better], first[better]
-    return sims, picks
 
 
 def _chunks(references: DataFrame, ref_key: str, ref_order: str, bits: str, n_bits: int, chunk_bytes: int):
-    """The references in order, as (packed bits, keys) of bounded size."""
+    """The references in order, as lists of chunks (packed bits) of bounded size, each list with its keys.
+
+    A list holds as many chunks as fit in ``CHUNK_BYTES``, one at least: sorting, collecting and sending cost a job each,
+    which small chunks share.
+    """
     refs = settle(
         references.select(
             F.col(ref_order).alias("_ord"), F.col(ref_key).cast("string").alias("_key"), F.col(bits).alias("_bits")
@@ -119,15 +161,17 @@ def _chunks(references: DataFrame, ref_key: str, ref_order: str, bits: str, n_bi
         F.sum(F.coalesce(F.length("_key"), F.lit(0)) + n_bits // 8 + F.coalesce(F.size("_bits"), F.lit(0)) * 4).alias("b"),
     ).first()
     n = math.ceil((size["b"] or 0) / chunk_bytes)
-    if n > 1:
-        step = math.ceil(size["n"] / n)
+    step = math.ceil(size["n"] / n) if n else 1
+    together = step * max(1, CHUNK_BYTES // chunk_bytes)
+    if size["n"] > together:
         refs = settle(ranks.dense_number(refs, ["_ord", "_key"], "_no"))
-        parts = [refs.where(F.col("_no").between(k * step + 1, (k + 1) * step)) for k in range(math.ceil(size["n"] / step))]
+        parts = [refs.where(F.col("_no").between(k + 1, k + together)) for k in range(0, size["n"], together)]
     else:
-        parts = [refs] * n
+        parts = [refs] if n else []
     for part in parts:
         table = part.orderBy("_ord", "_key").toArrow()
-        yield pack_bits(table["_bits"], n_bits), np.array(table["_key"].to_pylist(), dtype=object)
+        packed = pack_bits(table["_bits"], n_bits)
+        yield [packed[at : at + step] for at in range(0, len(packed), step)], np.array(table["_key"].to_pylist(), dtype=object)
 
 
 def nearest(
@@ -156,15 +200,16 @@ def nearest(
     sc = library.sparkSession.sparkContext
     found = library
     walked = 0
-    for chunk in _chunks(references, ref_key, ref_order, bits, n_bits, chunk_bytes):
-        sent, start = sc.broadcast(chunk), walked == 0
+    for chunks in _chunks(references, ref_key, ref_order, bits, n_bits, chunk_bytes):
+        sent, start = sc.broadcast(chunks), walked == 0
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, start=start) -> Iterator[pa.RecordBatch]:
-            ref, keys = sent.value
+            refs, keys = sent.value
+            ready = [references_of(ref) for ref in refs]
             for batch in batches:
                 columns = list(batch.columns) if start else batch.columns[:-2]
                 best = None if start else batch.column("max_sim").to_numpy(zero_copy_only=False)
-                sims, picks = best_match(pack_bits(batch.column(bits), n_bits), ref, best, limit)
+                sims, picks = best_of_chunks(pack_bits(batch.column(bits), n_bits), ready, best, limit)
                 names = keys[np.maximum(picks, 0)]
                 if not start:
                     old = np.array(batch.column("nearest").to_pylist(), dtype=object)
